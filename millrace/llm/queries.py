@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import reference_match, survivors
+from millrace.llm import near_duplicates, reference_match, survivors
 from millrace.session import table
 
 DAY_MS = 86_400_000
@@ -39,6 +39,11 @@ def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select(F.col("group_key").alias("group_job_id"), F.col("salary_min_cad").cast("int").alias("salary_min_cad"), "company_size_bucket")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of jobs rows that share three quarters of their words."""
+    return near_duplicates.similar_pairs(table(spark, sf_dir, "jobs"), "job_id", ["title", "description"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found)}
