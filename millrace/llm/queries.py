@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import near_duplicates, reference_match, survivors
+from millrace.llm import incremental, near_duplicates, reference_match, survivors
 from millrace.session import table
 
 DAY_MS = 86_400_000
@@ -44,6 +44,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, sf_dir, "jobs"), "job_id", ["title", "description"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each incoming row that repeats an accepted posting, with that posting."""
+    return incremental.check_batches(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "incoming_jobs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found)}
