@@ -199,7 +199,7 @@ def similar_pairs(records: DataFrame, key: str, texts: list[str], share: tuple[i
     copies = found.where("kind = 2").select(F.col("a").alias("rep"), F.col("b").alias("k")).where("rep != k").dropDuplicates()
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("k")).union(copies.select(F.explode(F.array("rep", "k")).alias("k"))).dropDuplicates()
-    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    few = wanted.count() <= BROADCAST_KEYS
     chosen = base.join(F.broadcast(wanted) if few else wanted, "k", "left_semi").dropDuplicates(["id"])
     words = chosen.select("k", "id", words_of(F.col("text")).alias("w"))
     left = words.select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("w").alias("wa"))
