@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import incremental, near_duplicates, reference_match, survivors
+from millrace.llm import incremental, leakage, near_duplicates, reference_match, survivors
 from millrace.session import table
 
 DAY_MS = 86_400_000
@@ -49,6 +49,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.check_batches(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "incoming_jobs"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and an item of whose passage it holds twelve consecutive words."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item with the documents that hold it, the longest share and whether question and answer leaked along."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(
+        F.count("*").alias("n_docs"), F.max("shared_words").alias("most_shared_words"), F.sum((F.col("question_share") == 1).cast("int")).alias("n_with_question"), F.sum(F.col("answer_found").cast("int")).alias("n_with_answer")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found, p8_found, p8_leaked_items)}
