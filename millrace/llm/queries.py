@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import incremental, leakage, near_duplicates, reference_match, survivors
+from millrace.llm import incremental, leakage, near_duplicates, reference_match, survivors, text_quality
 from millrace.session import table
 
 DAY_MS = 86_400_000
@@ -65,6 +65,16 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of which less than half of the characters belong to full sentences."""
+    return text_quality.not_prose(table(spark, sf_dir, "documents"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text statistics and its kind."""
+    return text_quality.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found, p8_found, p8_leaked_items)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found, p8_found, p8_leaked_items, p9_found, p9_statistics)}
