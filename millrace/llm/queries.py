@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import incremental, leakage, near_duplicates, reference_match, survivors, text_quality
+from millrace.llm import incremental, leakage, near_duplicates, packing, reference_match, survivors, text_quality
 from millrace.session import table
 
 DAY_MS = 86_400_000
@@ -53,6 +53,17 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a container of each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers of each capacity are used, and how full they are."""
+    sizes = table(spark, sf_dir, "pack_sizes")
+    return packing.fill(packing.pack(table(spark, sf_dir, "documents"), sizes), sizes)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and an item of whose passage it holds twelve consecutive words."""
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
@@ -77,4 +88,4 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found, p8_found, p8_leaked_items, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found, p7_packed, p7_fill, p8_found, p8_leaked_items, p9_found, p9_statistics)}
