@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import data_queries
+from millrace.plans import data_queries, scalar_queries
+
+BOOKS = (scalar_queries.BOOK,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return data_queries.queries()
+    out = {}
+    for book in BOOKS:
+        out |= book.queries
+    return out | data_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    out = {}
+    for book in BOOKS:
+        out |= book.sql
+    return out
