@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import lcs_length
 from millrace.functions.text import jaccard, sorted_tokens, tokenize
 from millrace.session import cut
 
 #: Distinct strings of a block; a pair of blocks is one task's unit of work.
-BLOCK = 2_000
+BLOCK = 800
 #: Classes of letters of the sound pre-filter; letters are hashed into them.
 CLASSES = 32
 
@@ -29,6 +28,31 @@ def _bags(strings: list[str]) -> np.ndarray:
     return out
 
 
+def _lcs_with_all(one: str, codes: np.ndarray, symbol: dict[str, int]) -> np.ndarray:
+    """LCS lengths of ``one`` with many strings, given as rows of symbol numbers padded with the last one."""
+    width = -(-len(one) // 64)
+    masks = np.zeros((len(symbol) + 1, width), dtype=np.uint64)
+    for i, c in enumerate(one):
+        if c in symbol:
+            masks[symbol[c], i // 64] |= np.uint64(1 << (i % 64))
+    rows = [np.full(len(codes), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64) for _ in range(width)]
+    for j in range(codes.shape[1]):
+        hit = masks[codes[:, j]]
+        carry = np.zeros(len(codes), dtype=np.uint64)
+        for w in range(width):
+            row, u = rows[w], rows[w] & hit[:, w]
+            total = row + u
+            over = total < row
+            total2 = total + carry
+            carry = (over | (total2 < total)).astype(np.uint64)
+            rows[w] = total2 | (row & ~u)
+    left = np.zeros(len(codes), dtype=np.int64)
+    for w in range(width):
+        used = min(64, len(one) - 64 * w)
+        left += np.bitwise_count(rows[w] & np.uint64((1 << used) - 1)).astype(np.int64)
+    return len(one) - left
+
+
 def scored_pairs(left: list[str], right: list[str], threshold: int, same: bool) -> list[tuple[int, int, int]]:
     """(i, j, LCS) of all pairs with a ratio of at least ``threshold``; i < j where both lists are the same.
 
@@ -37,17 +61,21 @@ def scored_pairs(left: list[str], right: list[str], threshold: int, same: bool)
     """
     la, lb = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     ba, bb = _bags(left), _bags(right)
+    symbol = {c: k for k, c in enumerate(sorted(set("".join(right))))}
+    codes = np.full((len(right), max(1, lb.max(initial=0))), len(symbol), dtype=np.int32)
+    for k, s in enumerate(right):
+        codes[k, : len(s)] = [symbol[c] for c in s]
     out = []
     for i, s in enumerate(left):
         total = la[i] + lb
-        least = np.abs(bb - ba[i]).sum(axis=1)
-        for j in np.flatnonzero(100 * least <= (100 - threshold) * total):
-            if same and j <= i:
-                continue
-            n = lcs_length(s, right[j])
+        at = np.flatnonzero(100 * np.abs(bb - ba[i]).sum(axis=1, dtype=np.int64) <= (100 - threshold) * total)
+        if same:
+            at = at[at > i]
+        if len(at):
+            n = _lcs_with_all(s, codes[at][:, : max(1, lb[at].max())], symbol)
             # whole numbers, so that exact thresholds don't hang on rounding
-            if 100 * (total[j] - 2 * n) <= (100 - threshold) * total[j]:
-                out.append((i, int(j), n))
+            good = 100 * (total[at] - 2 * n) <= (100 - threshold) * total[at]
+            out.extend(zip([i] * int(good.sum()), at[good].tolist(), n[good].tolist()))
     return out
 
 
@@ -71,9 +99,11 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, threshold: int) -> Data
             b.withColumn("y", F.pmod(F.xxhash64("s"), F.lit(nb)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(na - 1)))).select("s", "x", "y", F.lit(1).alias("side"))
         )
 
+    alone = b is None
+
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        if b is None:
+        if alone:
             first, second = pdf["s"][pdf["side"] == x].tolist(), pdf["s"][pdf["side"] == y].tolist()
             same = x == y
         else:
@@ -82,7 +112,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, threshold: int) -> Data
         if first and second:
             for i, j, n in scored_pairs(first, second, threshold, same):
                 p, q = first[i], second[j]
-                if b is None and p > q:
+                if alone and p > q:
                     p, q = q, p
                 total = len(p) + len(q)
                 rows.append((p, q, 200.0 * n / total if total else 100.0))

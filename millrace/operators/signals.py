@@ -56,4 +56,4 @@ def override_rate_weekly(events: DataFrame) -> DataFrame:
     """Extension: per week, changes to a final state and the share of them on unclassified postings."""
     final = once(events).where("event_type = 'state_change' AND to_state IN ('applied', 'dismissed')")
     hit = F.when(F.col("specialty_name").isNull() | (F.col("specialty_name") == "Unclassified"), 1).otherwise(0)
-    return final.groupBy(F.to_date(F.date_trunc("week", "recorded_at")).alias("week")).agg(F.count("*").alias("n_final"), F.sum(hit).alias("n_override"), F.round(F.avg(hit), 6).alias("override_rate"))
+    return final.groupBy(F.date_format(F.date_trunc("week", "recorded_at"), "yyyy-MM-dd").alias("week")).agg(F.count("*").alias("n_final"), F.sum(hit).alias("n_override"), F.round(F.avg(hit), 6).alias("override_rate"))

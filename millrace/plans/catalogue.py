@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import data_queries, scalar_queries
+from millrace.plans import data_queries, scalar_queries, store_queries
 
-BOOKS = (scalar_queries.BOOK,)
+BOOKS = (scalar_queries.BOOK, store_queries.BOOK)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
