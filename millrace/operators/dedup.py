@@ -118,7 +118,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, threshold: int) -> Data
                 rows.append((p, q, 200.0 * n / total if total else 100.0))
         return pd.DataFrame(rows, columns=["a", "b", "score"])
 
-    return units.groupBy("x", "y").applyInPandas(score, "a string, b string, score double")
+    # few bytes but much work: a task for each unit, whatever the size of the strings
+    return units.repartition(na * (na + 1) // 2 if alone else na * nb, "x", "y").groupBy("x", "y").applyInPandas(score, "a string, b string, score double")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
