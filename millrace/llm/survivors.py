@@ -45,21 +45,17 @@ def group_roots(rows: DataFrame, key: str, link: str) -> DataFrame:
     smallest member.
     """
     targets = rows.where(F.col(link).isNotNull() & (F.col(link) != F.col(key))).groupBy(F.col(link).alias("parent")).agg(F.lit(1).alias("_one")).drop("_one")
-    onward = rows.where(F.col(link).isNotNull()).groupBy(F.col(key).alias("parent")).agg(F.min(link).alias("next"))
-    hops = cut(targets.join(onward, "parent", "left").select("parent", F.coalesce("next", "parent").alias("next"), F.least("parent", F.coalesce("next", "parent")).alias("low")))
-    for _ in range(64):
-        ahead = hops.select(F.col("parent").alias("next"), F.col("next").alias("beyond"), F.col("low").alias("low2"))
-        moved = cut(
-            hops.join(ahead, "next", "left").select("parent", F.coalesce("beyond", "next").alias("next"), F.least("low", "low2").alias("low"), (F.coalesce("beyond", "next") != F.col("next")).alias("moved"), (F.least("low", "low2") != F.col("low")).alias("lower"))
-        )
-        if moved.where("moved").limit(1).count() == 0:
-            hops = moved.select("parent", "next", "low")
+    onward = rows.where(F.col(link).isNotNull() & (F.col(link) != F.col(key))).groupBy(F.col(key).alias("parent")).agg(F.min(link).alias("next"))
+    hops = cut(targets.join(onward, "parent", "left").select("parent", F.coalesce("next", "parent").alias("next"), F.least("parent", F.coalesce("next", "parent")).alias("low"), F.col("next").isNull().alias("rooted")))
+    while hops.where("NOT rooted").limit(1).count():
+        ahead = hops.select(F.col("parent").alias("next"), F.col("next").alias("beyond"), F.col("low").alias("low2"), F.col("rooted").alias("rooted2"))
+        moved = cut(hops.join(ahead, "next").select("parent", F.col("beyond").alias("next"), F.least("low", "low2").alias("low"), F.col("rooted2").alias("rooted"), (F.least("low", "low2") != F.col("low")).alias("lower"), (F.col("rooted2") != F.col("rooted")).alias("found")))
+        hops = moved.drop("lower", "found")
+        if moved.where("NOT rooted AND lower OR found").limit(1).count() == 0:
+            # what is left runs in circles, and every circle knows its smallest member
+            circle = hops.select(F.col("parent").alias("next"), F.col("low").alias("least"))
+            hops = hops.join(circle, "next").select("parent", F.when(F.col("rooted"), F.col("next")).otherwise(F.col("least")).alias("next"))
             break
-        if moved.where("lower").limit(1).count() == 0:
-            # only cycles still move: their lowest member is known
-            hops = moved.select("parent", F.when(F.col("moved"), F.col("low")).otherwise(F.col("next")).alias("next"), "low")
-            break
-        hops = moved.select("parent", "next", "low")
     return hops.select("parent", F.col("next").alias("group_key"))
 
 

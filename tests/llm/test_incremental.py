@@ -1,0 +1,61 @@
+"""Problem 6: what repeats an accepted posting, batch after batch."""
+
+from datetime import datetime, timezone
+
+from millrace.llm import incremental as inc
+
+T = datetime(2026, 1, 1, tzinfo=timezone.utc)
+JOBS = "job_id string, url string, title_normalized string, company_normalized string, duplicate_of string, fetched_at timestamp, rank string, h long"
+NEW = "arrival_id long, batch_no int, job_id string, url string, title_normalized string, company_normalized string, core string"
+# a vocabulary needs rows: the stored postings name every word a few times
+TITLES = ["senior data scientist fraud amber falcon", "junior data scientist fraud amber falcon", "senior data engineer pricing jade needle", "machine learning engineer speech lunar otter", "senior data scientist pricing jade otter"]
+
+
+def stored(spark):
+    rows = [(f"j{k}", f"https://www.site.example/jobs/view/{k}", t, "ulmcelsko forestry", None, T, "", 0) for k, t in enumerate(TITLES)]
+    rows += [(f"f{k}{m}", f"https://www.site.example/jobs/fill/{k}{m}", t, f"filler{k}{m} media", None, T, "", 0) for k, t in enumerate(TITLES) for m in "abcd"]
+    return spark.createDataFrame(rows, JOBS)
+
+
+def answers(spark, rows):
+    got = inc.check_batches(stored(spark), spark.createDataFrame([(*r, "") for r in rows], NEW)).collect()
+    assert len({r.arrival_id for r in got}) == len(got)
+    return {r.arrival_id: r.job_id for r in got}
+
+
+def test_history_and_earlier_arrivals(spark):
+    rows = [
+        (1, 1, "n1", "http://SITE.example/jobs/view/0/?utm_source=alert#top", "something else entirely", "nobody"),
+        (2, 1, "n2", "https://x.example/2", "urgent sr data scientist amber falcon fraud full time", "ulmcelsko forestry inc"),
+        (3, 1, "n3", "https://x.example/3", "lead data scientist fraud amber falcon", "ulmcelsko forestry"),
+        (4, 1, "n4", "https://x.example/4", "senior data scienist fraud ambre falcon", "ulmcelkso forestry canada"),
+        (5, 1, "n5", "https://x.example/5", "ml engineer speech lunar otter", "ulmcelsko forestry"),
+        (6, 1, "n6", "https://x.example/6", "senior data scientist fraud amber falcon", "another company"),
+        (7, 2, "n7", "https://x.example/7", "falcon senior data scientist fraud amber", "another company ltd"),
+        (8, 2, "n8", "https://x.example/3?trk=home", "junior data engineer pricing jade needle", "third company"),
+        (9, 3, "n9", "https://x.example/9", "junior data engineer pricing jade needle", "third company"),
+        (10, 3, "n10", "https://x.example/10", "jr data engineer pricing jade needle", "third company"),
+        (11, 3, "n11", None, None, None),
+        (12, 3, "n12", "", "", ""),
+        (12, 3, "n12", "", "", ""),
+        (13, 3, "n13", None, None, None),
+    ]
+    # 3 is another level and so is accepted; 8 repeats its page and is refused, so 9 is new and 10 repeats 9
+    assert answers(spark, rows) == {1: "j0", 2: "j0", 4: "j0", 5: "j3", 7: "n6", 8: "n3", 10: "n9"}
+
+
+def test_empty(spark):
+    assert answers(spark, []) == {}
+    none = inc.check_batches(stored(spark).limit(0), spark.createDataFrame([(1, 1, "n1", "u", "a b", "c", ""), (2, 1, "n2", "u", "x", "y", "")], NEW)).collect()
+    assert [(r.arrival_id, r.job_id) for r in none] == [(2, "n1")]
+
+
+def test_hot_group(spark):
+    rows = [(k, 1 + k // 200, f"n{k}", f"https://x.example/{k}", "senior data engineer pricing jade otter", "hot company") for k in range(400)]
+    assert answers(spark, rows) == {k: "n0" for k in range(1, 400)}
+
+
+def test_pages(spark):
+    urls = ["https://www.Site.example/Jobs/1/", "http://site.example/Jobs/1?utm_medium=x&trk=2", "https://site.example/Jobs/1?jk=5", "https://site.example/Jobs/1?b=1&jk=5#x", "", None]
+    got = [r.p for r in spark.createDataFrame([(u,) for u in urls], "u string").select(inc.canonical_page(inc.F.col("u")).alias("p")).collect()]
+    assert got == ["site.example/Jobs/1", "site.example/Jobs/1", "site.example/Jobs/1?jk=5", "site.example/Jobs/1?b=1&jk=5", None, None]
