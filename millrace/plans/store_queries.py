@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import dedup, feed, filters, signals, store
-from millrace.plans import pipeline
+from millrace.plans import pipeline, runner
 from millrace.plans.registry import Book
 from millrace.plans.scalar_queries import CONFIG, HARD_SQL, KIND_SQL, TITLE_SQL, VALID_SQL, jobs, malformed_sql, raw
 from millrace.session import table
@@ -273,6 +273,13 @@ def pipeline_funnel(spark: SparkSession, d: str) -> DataFrame:
     return stages(counts).unionByName(stages(passed))
 
 
+@BOOK.add()
+def replay_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """A captured batch run against the store, stage by stage: how many postings are left after each."""
+    done = runner.replay(raw(spark, d), jobs(spark, d), table(spark, d, "duplicates"), classes(spark, d), AS_OF, seen_at=F.col("scraped_at"))
+    return spark.createDataFrame(list(done.counts.items()), "stage string, n long")
+
+
 @BOOK.add("SELECT source, count(*) AS n FROM raw_postings GROUP BY source")
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
     """Postings of each source."""
