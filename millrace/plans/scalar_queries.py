@@ -13,7 +13,6 @@ from millrace.session import table
 from millrace.sources import mapping, registry
 
 BOOK = Book()
-NAMES = "', '"
 # Terms and places of the default search.
 TERMS = ["data scientist", "machine learning engineer", "applied scientist", "data analyst"]
 PLACES = ["Vancouver, BC, Canada", "Canada"]
@@ -106,7 +105,6 @@ def structured_sql(low: str, high: str, currency: str, interval: str) -> tuple[s
 
 
 PAY = rf"(?i)\$?\s*(\d[\d,]*(?:\.\d+)?)\s*[Kk]?\s*(?:–|-|to|—)\s*\$?\s*(\d[\d,]*(?:\.\d+)?)\s*[Kk]?"
-NUM = "replace({}, ',', '')::DOUBLE"
 
 
 def range_sql(x: str) -> str:
@@ -235,7 +233,6 @@ def source_union(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "source", "source_order")
 
 
-STATUS = "source_results map<string, struct<status string, count int, error string>>"
 
 
 @BOOK.add("""SELECT run_id, s AS source, json_extract_string(source_results_json, '$.' || s || '.status') AS status, json_extract_string(source_results_json, '$.' || s || '.count')::INTEGER AS n

@@ -9,7 +9,7 @@ from millrace.functions import text
 from millrace.operators import dedup, feed, filters, signals, store
 from millrace.plans import pipeline, runner
 from millrace.plans.registry import Book
-from millrace.plans.scalar_queries import CONFIG, HARD_SQL, KIND_SQL, TITLE_SQL, VALID_SQL, jobs, malformed_sql, raw
+from millrace.plans.scalar_queries import TITLE_SQL, VALID_SQL, jobs, malformed_sql, raw
 from millrace.session import table
 
 BOOK = Book()

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.operators.store import first_rows
 
+# What a site says when it asks to slow down.
 RATE_LIMIT_MARKS = ("429", "rate limit", "too many", "quota", "plan")
 # Most postings of one call.
 CAPS = {"linkedin": 250, "indeed": 100, "google": 50}
