@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.dartminhash import DartMinHash, mix
-from millrace.session import written
+from millrace.operators.dedup import components
+from millrace.session import cut, written
 
 COORDINATES, ROWS, BANDS = 320, 10, 72
 SKETCH_BITS = 128
@@ -177,14 +178,8 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(JVM_WORD), F.lit(0)), lambda w: F.xxhash64(w)))
 
 
-def similar_pairs(records: DataFrame, key: str, texts: list[str], share: tuple[int, int] = (3, 4)) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: pairs whose words have at least share[0]/share[1] in common.
-
-    Null texts count as empty; records without any word are in no pair; rows
-    that repeat a key count once; equal word sets are pairs too. Similarity is
-    verified exactly; a pair at 0.75 is missed with probability 0.015, one at
-    0.80 with 0.0003, one at 0.85 with 2e-7 (README).
-    """
+def _similar(records: DataFrame, key: str, texts: list[str], share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, ia, ib) of similar representatives, (rep, id2) of records folded into one, and (rep, id2) of those representatives themselves."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in texts])
     base = records.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("k"), F.col(key).alias("id"), text.alias("text"))
     buckets = max(48, -(-records.count() * BANDS // ENTRIES_A_BUCKET))
@@ -212,6 +207,18 @@ def similar_pairs(records: DataFrame, key: str, texts: list[str], share: tuple[i
     ids = chosen.select("k", "id")
     member = copies.join(ids.withColumnRenamed("id", "id2"), "k").select("rep", "id2")
     rep_ids = copies.select(F.col("rep").alias("k")).dropDuplicates().join(ids, "k").select(F.col("k").alias("rep"), F.col("id").alias("id2"))
+    return similar, member, rep_ids
+
+
+def similar_pairs(records: DataFrame, key: str, texts: list[str], share: tuple[int, int] = (3, 4)) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: pairs whose words have at least share[0]/share[1] in common.
+
+    Null texts count as empty; records without any word are in no pair; rows
+    that repeat a key count once; equal word sets are pairs too. Similarity is
+    verified exactly; a pair at 0.75 is missed with probability 0.015, one at
+    0.80 with 0.0003, one at 0.85 with 2e-7 (README).
+    """
+    similar, member, rep_ids = _similar(records, key, texts, share)
     group = member.union(rep_ids)
     inside = group.select("rep", F.col("id2").alias("ia")).join(group.select("rep", F.col("id2").alias("ib")), "rep").select("ia", "ib")
     ma, mb = member.select(F.col("rep").alias("a"), F.col("id2").alias("ja")), member.select(F.col("rep").alias("b"), F.col("id2").alias("jb"))
@@ -221,3 +228,19 @@ def similar_pairs(records: DataFrame, key: str, texts: list[str], share: tuple[i
         F.when(F.col("ja").isNotNull() & F.col("jb").isNotNull(), F.struct(F.col("ja").alias("ia"), F.col("jb").alias("ib"))),
     ))).alias("p")).select("p.*")
     return spread.union(inside).where("ia != ib").select(F.least("ia", "ib").alias(f"{key}_a"), F.greatest("ia", "ib").alias(f"{key}_b")).dropDuplicates()
+
+
+def similar_groups(records: DataFrame, key: str, texts: list[str], share: tuple[int, int] = (3, 4)) -> DataFrame:
+    """(key, group_id, n_links) of every record in a group of two or more; a group holds all that pairs connect.
+
+    group_id is the smallest key of the group, n_links the number of links a
+    record has to others, copies counted as one link to their representative.
+    Copies aren't expanded into pairs, so a group of any size stays a row each.
+    """
+    similar, member, rep_ids = _similar(records, key, texts, share)
+    stand = rep_ids.select("rep", F.col("id2").alias("a"))
+    edges = cut(similar.select(F.col("ia").alias("a"), F.col("ib").alias("b")).union(member.join(stand, "rep").select("a", F.col("id2").alias("b"))).where("a != b").dropDuplicates())
+    ends = edges.select("a").union(edges.select("b"))
+    linked = ends.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n_links"))
+    named = components(linked.select("v"), edges)
+    return named.join(linked, "v").select(F.col("v").alias(key), F.col("component").alias("group_id"), "n_links")

@@ -33,6 +33,18 @@ FROM big b LEFT JOIN pay p ON p.group_job_id = b.group_job_id AND p.k = 1 LEFT J
 }
 
 
+ORACLE["p4_found"] = r"""
+WITH w AS (SELECT job_id, list_distinct(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[\p{L}\p{N}]+')) AS words FROM jobs),
+u AS (SELECT job_id, len(words) AS n, unnest(words) AS word FROM w)
+SELECT a.job_id AS job_id_a, b.job_id AS job_id_b FROM u a JOIN u b ON a.word = b.word AND a.job_id < b.job_id
+GROUP BY a.job_id, b.job_id, a.n, b.n HAVING 7 * count(*) >= 3 * (a.n + b.n)
+"""
+
+RUNS = r"""SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 11), ' ') AS run
+FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+') AS w FROM {table}))"""
+ORACLE["p8_found"] = f"SELECT DISTINCT d.doc_id, e.item_id FROM ({RUNS.format(key='doc_id', text='text', table='documents')}) d JOIN ({RUNS.format(key='item_id', text='passage', table='eval_items')}) e USING (run)"
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to SQL."""
     return dict(ORACLE)

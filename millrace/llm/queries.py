@@ -44,6 +44,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, sf_dir, "jobs"), "job_id", ["title", "description"])
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that near-duplicate jobs rows form."""
+    return near_duplicates.similar_groups(table(spark, sf_dir, "jobs"), "job_id", ["title", "description"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each incoming row that repeats an accepted posting, with that posting."""
     return incremental.check_batches(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "incoming_jobs"))
@@ -88,4 +93,4 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p6_found, p7_packed, p7_fill, p8_found, p8_leaked_items, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_survivors, p4_found, p4_groups, p6_found, p7_packed, p7_fill, p8_found, p8_leaked_items, p9_found, p9_statistics)}

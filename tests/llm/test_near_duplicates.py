@@ -51,7 +51,31 @@ def test_pairs_against_brute_force(spark):
     assert set(got) == brute(rows)
 
 
+def test_groups_are_the_components_of_the_pairs(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(25):
+        base = rng.sample(VOCABULARY, 40)
+        for m in range(rng.randint(1, 6)):
+            if m and rng.random() < 0.3:
+                base = [*base[4:], *rng.sample(VOCABULARY, 4)]
+            rows.append((f"g{k:02}{m}", base[0], " ".join(base[1:]), 0, "", ""))
+    group = {j: j for pair in brute(rows) for j in pair}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in brute(rows):
+            low = min(group[a], group[b])
+            if group[a] != low or group[b] != low:
+                group[a] = group[b] = low
+                moved = True
+    got = nd.similar_groups(spark.createDataFrame(rows, SCHEMA), "job_id", ["title", "description"]).collect()
+    assert {r.job_id: r.group_id for r in got} == group and len(got) == len(group)
+    assert all(r.n_links >= 1 for r in got)
+
+
 def test_empty(spark):
+    assert nd.similar_groups(spark.createDataFrame([], SCHEMA), "job_id", ["title", "description"]).count() == 0
     assert nd.similar_pairs(spark.createDataFrame([], SCHEMA), "job_id", ["title", "description"]).count() == 0
 
 
