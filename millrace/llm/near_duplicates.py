@@ -31,7 +31,7 @@ COORDINATES, ROWS, BANDS = 320, 10, 72
 SKETCH_BITS = 128
 #: Sketch bits that may differ. At a similarity of 0.75 one in eight differs: 16 expected, 32 is over 4 deviations above.
 SKETCH_DIFFER = 32
-ENTRIES_A_BUCKET = 400_000
+ENTRIES_A_BUCKET = 1_000_000
 BLOB_ENTRIES = 2_000_000
 #: Record keys up to which the keys of surviving pairs are broadcast; beyond, the same filter is a shuffled join.
 BROADCAST_KEYS = 500_000
@@ -184,7 +184,8 @@ def _similar(records: DataFrame, key: str, texts: list[str], share: tuple[int, i
     base = records.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("k"), F.col(key).alias("id"), text.alias("text"))
     buckets = max(48, -(-records.count() * BANDS // ENTRIES_A_BUCKET))
     signed = base.select("k", "text").mapInArrow(_signed(buckets), "bucket int, kind int, data binary")
-    found = written(signed.groupBy("bucket").applyInArrow(_paired, "kind int, a long, b long, c long"), "near-duplicates")
+    # a task a bucket: left to itself, Spark puts many of these few large rows into one task
+    found = written(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_paired, "kind int, a long, b long, c long"), "near-duplicates")
     sketch = found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("s0"), F.col("c").alias("s1")).dropDuplicates(["k"])
     first = sketch.select(F.col("k").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
     second = sketch.select(F.col("k").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
