@@ -170,11 +170,15 @@ class History:
     def matches(self, batch: DataFrame) -> DataFrame:
         """(arrival_id, job_id) of the batch rows that repeat an accepted posting: a page first, then whole content, then near content."""
         asked = batch.select("arrival_id", F.explode(hashes("page", "title_key", "core")).alias("x")).select("arrival_id", "x.*")
+        # each hash meets the table once, however many rows of the batch share it; the way back to the rows is a join that can be split
+        once = asked.select("h", "kind", "core").dropDuplicates()
         held = self.table().select(F.col("h").alias("h2"), F.col("kind").alias("kind2"), F.col("core").alias("core2"), F.col("rank"), F.col("job_id"))
         on = (F.col("h") == F.col("h2")) & (F.col("kind") == F.col("kind2"))
-        met = asked.join(held, on).where((F.col("kind") != NEAR) | (F.levenshtein("core", "core2", COMPANY_EDITS) >= 0))
+        met = once.join(held, on).where((F.col("kind") != NEAR) | (F.levenshtein("core", "core2", COMPANY_EDITS) >= 0))
         edits = F.when(F.col("kind") == NEAR, F.levenshtein("core", "core2")).otherwise(0)
-        return met.groupBy("arrival_id").agg(F.min(F.struct("kind", edits.alias("edits"), "rank", "job_id")).alias("m")).select("arrival_id", "m.job_id")
+        told = met.groupBy("h", "kind", F.coalesce("core", F.lit("")).alias("c")).agg(F.min(F.struct(edits.alias("edits"), "rank", "job_id")).alias("m"))
+        back = asked.select("arrival_id", "h", "kind", F.coalesce("core", F.lit("")).alias("c")).join(told, ["h", "kind", "c"])
+        return back.groupBy("arrival_id").agg(F.min(F.struct("kind", "m")).alias("m")).select("arrival_id", "m.m.job_id")
 
 
 def same_core(rows: DataFrame) -> DataFrame:
