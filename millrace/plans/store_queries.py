@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions import text
 from millrace.operators import dedup, feed, filters, signals, store
@@ -295,8 +296,8 @@ def state_counts(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add("SELECT seniority, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM jobs), 4) AS pct FROM jobs GROUP BY seniority")
 def seniority_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Jobs of each level."""
-    j = jobs(spark, d)
-    return j.groupBy("seniority").agg(F.count("*").alias("n")).crossJoin(F.broadcast(j.agg(F.count("*").alias("t")))).select("seniority", "n", F.round(100.0 * F.col("n") / F.col("t"), 4).alias("pct"))
+    levels = jobs(spark, d).groupBy("seniority").agg(F.count("*").alias("n"))
+    return levels.select("seniority", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4).alias("pct"))  # a row a level
 
 
 COVERED = ("location", "posted_at", "salary_min_cad", "salary_max_cad", "company_employees_label", "is_remote")
