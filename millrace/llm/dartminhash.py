@@ -32,16 +32,18 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 class DartMinHash:
     """Signatures of ``k`` coordinates. ``keep`` bounds the memory of darts kept for elements seen before."""
 
-    def __init__(self, k: int, seed: int = 1, keep: int = 200_000):
+    def __init__(self, k: int, seed: int = 1, keep: int = 50_000):
         self.k, self.seed, self.keep = k, seed, keep
         self.need = k * (math.log(k) + 2)
-        self._darts: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self._darts: dict[tuple[int, int, float], tuple[np.ndarray, np.ndarray]] = {}
+        self._unit: dict[float, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        self._units = 0
 
-    def level(self, total_weight: float) -> int:
-        """The rank is searched up to ``need / 2 ** level``."""
-        return math.floor(math.log2(total_weight))
+    def level(self, total_weight: float) -> float:
+        """The rank is searched up to ``need / 2 ** level``; in halves, so that few darts are drawn in vain."""
+        return math.floor(2 * math.log2(total_weight)) / 2
 
-    def darts(self, element: int, weight_cells: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    def darts(self, element: int, weight_cells: int, level: float) -> tuple[np.ndarray, np.ndarray]:
         """(packed, height): rank in the high and identity in the low 32 bits, and the dart's height on the weight axis.
 
         ``weight_cells`` unit cells on the weight axis, ranks up to ``need / 2 ** level``.
@@ -69,6 +71,24 @@ class DartMinHash:
             self._darts[key] = got
         return got
 
+    def coordinates(self, packed: np.ndarray) -> np.ndarray:
+        """The coordinate each dart is hashed to."""
+        return (((packed & np.uint64(0xFFFFFFFF)) * np.uint64(self.k)) >> np.uint64(32)).astype(np.uint32)
+
+    def unit(self, elements: list[int], level: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(packed, coordinate) of the darts of each element at weight 1, remembered."""
+        held = self._unit.setdefault(level, {})
+        got = [held.get(e) for e in elements]
+        for i, pair in enumerate(got) if None in got else ():
+            if pair is None:
+                if self._units >= self.keep:
+                    self._unit, self._units = {level: (held := {})}, 0
+                packed = self.darts(elements[i], 1, level)[0]
+                self._darts.clear()  # kept here
+                got[i] = held[elements[i]] = packed, self.coordinates(packed)
+                self._units += 1
+        return got
+
     def signature(self, elements: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         """The k kept darts of a set of element hashes, by default of weight 1; EMPTY everywhere for an empty set."""
         kept = np.full(self.k, EMPTY)
@@ -78,14 +98,15 @@ class DartMinHash:
         level = self.level(total)
         while True:
             if weights is None:
-                drawn = np.concatenate([self.darts(e, 1, level)[0] for e in elements.tolist()])
+                packed, coordinate = zip(*self.unit(elements.tolist(), level))
+                drawn, coordinate = np.concatenate(packed), np.concatenate(coordinate)
             else:
                 parts = []
                 for e, w in zip(elements.tolist(), weights.tolist()):
                     packed, height = self.darts(e, max(1, math.ceil(w)), level)
                     parts.append(packed[height < w])
                 drawn = np.concatenate(parts)
-            coordinate = ((drawn & np.uint64(0xFFFFFFFF)) * np.uint64(self.k)) >> np.uint64(32)
+                coordinate = self.coordinates(drawn)
             np.minimum.at(kept, coordinate.astype(np.int64), drawn)
             if not (kept == EMPTY).any():
                 return kept

@@ -1,9 +1,10 @@
 """Problem 4: near-duplicate records with small edits.
 
 A record is the set of distinct words of its texts. DartMinHash signatures are
-cut into bands; records that agree in a whole band are candidates, which are
-thinned by a one-bit-a-coordinate sketch and then verified exactly on their
-words. Nothing is compared all against all and nothing is collected.
+cut into bands that share no coordinate; records that agree in a whole band are
+candidates, which are thinned by a bound on their words that no similar pair
+fails and then verified exactly on their words. Nothing is compared all against
+all and nothing is collected.
 
 Layout for scale: one pass over the texts makes compact blobs of (band key,
 record key), grouped by hash into buckets whose number grows with the data, so
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,11 @@ from millrace.llm.dartminhash import DartMinHash, mix
 from millrace.operators.dedup import components
 from millrace.session import cut, written
 
-COORDINATES, ROWS, BANDS = 320, 10, 72
-SKETCH_BITS = 128
-#: Sketch bits that may differ. At a similarity of 0.75 one in eight differs: 16 expected, 32 is over 4 deviations above.
-SKETCH_DIFFER = 32
+ROWS, BANDS = 9, 128
+#: A coordinate of its own for each row of each band, so that bands are independent and a pair of similarity s is missed with (1 - s ** ROWS) ** BANDS.
+COORDINATES = ROWS * BANDS
+SKETCH_BITS = 256
+SIGNED_AT_ONCE = 1_000
 ENTRIES_A_BUCKET = 1_000_000
 BLOB_ENTRIES = 2_000_000
 #: Record keys up to which the keys of surviving pairs are broadcast; beyond, the same filter is a shuffled join.
@@ -38,27 +42,20 @@ BROADCAST_KEYS = 500_000
 WORD = re.compile(r"[^\W_]+")
 JVM_WORD = r"[\p{L}\p{N}]+"
 ENTRY = np.dtype([("h", "<u4"), ("k", "<i8")])
-PAIR = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+SKETCH = [f"s{n}" for n in range(SKETCH_BITS // 64)]
+PAIR = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), *[(s, pa.int64()) for s in SKETCH]])
 
 
 def band_keys(signatures: np.ndarray, seed: int = 7) -> np.ndarray:
-    """(records, BANDS) 64-bit keys; each band hashes its own random ROWS of the coordinates."""
-    rng = np.random.default_rng(seed)
-    keys = np.empty((len(signatures), BANDS), dtype=np.uint64)
-    low = mix(signatures, 11)
-    for band in range(BANDS):
-        chosen = rng.choice(COORDINATES, ROWS, replace=False)
-        acc = np.full(len(signatures), band, dtype=np.uint64)
-        for c in chosen:
-            acc = mix(acc ^ low[:, c], band + 1)
-        keys[:, band] = acc
-    return keys
+    """(records, BANDS) 64-bit keys; each band hashes ROWS coordinates of its own."""
+    odd = np.random.default_rng(seed).integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+    return mix((signatures.reshape(-1, BANDS, ROWS) * odd).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64), 1)
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """(records, 2) int64: one bit of each of the first SKETCH_BITS coordinates."""
-    bits = (mix(signatures[:, :SKETCH_BITS], 13) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+def sketch(ids: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits of a word set: is the number of words hashed to a bit odd? Two sets differ in as many words as bits, at least."""
+    odd = np.bincount((ids >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
 def _signed(buckets: int):
@@ -66,15 +63,14 @@ def _signed(buckets: int):
         dart = DartMinHash(COORDINATES)
         hashes: dict[str, int] = {}
         first: dict[bytes, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         copies: list[tuple[int, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             out_b, out_k, out_d = [], [], []
             if held:
-                keys = np.concatenate([k for k, _ in held])
-                sigs = np.concatenate([s for _, s in held])
-                bands = band_keys(sigs)
+                keys = np.concatenate([k for k, *_ in held])
+                bands = np.concatenate([b for _, b, *_ in held])
                 bucket = (bands >> np.uint64(32)) % np.uint64(buckets)
                 order = np.argsort(bucket, axis=None, kind="stable")
                 flat = np.empty(bands.size, dtype=ENTRY)
@@ -86,10 +82,9 @@ def _signed(buckets: int):
                     out_b.append(int(bucket[s]))
                     out_k.append(0)
                     out_d.append(flat[s:e].tobytes())
-                sk = sketches(sigs)
                 out_b.append(int(mix(keys[:1].view(np.uint64), 3)[0] % np.uint64(buckets)))
                 out_k.append(1)
-                out_d.append(np.column_stack([keys, sk]).tobytes())
+                out_d.append(np.column_stack([keys, np.concatenate([n for *_, n, _ in held]), np.concatenate([s for *_, s in held])]).tobytes())
                 held.clear()
             if copies:
                 out_b.append(copies[0][0] % buckets)
@@ -99,21 +94,28 @@ def _signed(buckets: int):
             if out_b:
                 yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_k, pa.int32()), pa.array(out_d, pa.binary())], names=["bucket", "kind", "data"])
 
+        keys: list[int] = []
+        sigs: list[np.ndarray] = []
+        sizes: list[int] = []
+        sketched: list[np.ndarray] = []
+
+        def hold() -> None:
+            if keys:
+                held.append((np.array(keys, dtype=np.int64), band_keys(np.stack(sigs)), np.array(sizes, dtype=np.int64), np.stack(sketched)))
+                keys.clear(), sigs.clear(), sizes.clear(), sketched.clear()
+
         size = 0
         for batch in batches:
-            keys, sigs = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(WORD.findall(text.lower()))
                 if not words:
                     continue
-                ids = []
-                for w in words:
-                    h = hashes.get(w)
-                    if h is None:
-                        if len(hashes) > 1_000_000:
-                            hashes.clear()
-                        h = hashes[w] = xxhash.xxh64_intdigest(w)
-                    ids.append(h)
+                ids = [hashes.get(w) for w in words]
+                if None in ids:
+                    if len(hashes) > 1_000_000:
+                        hashes.clear()
+                    ids = [xxhash.xxh64_intdigest(w) for w in words]
+                    hashes.update(zip(words, ids))
                 ids = np.array(ids, dtype=np.uint64)
                 ids.sort()
                 digest = xxhash.xxh128_digest(ids.tobytes())
@@ -126,27 +128,37 @@ def _signed(buckets: int):
                 first[digest] = key
                 keys.append(key)
                 sigs.append(dart.signature(ids))
-            if keys:
-                held.append((np.array(keys, dtype=np.int64), np.stack(sigs)))
-                size += len(keys) * BANDS
+                sizes.append(len(ids))
+                sketched.append(sketch(ids))
+                size += BANDS
+                if len(keys) == SIGNED_AT_ONCE:
+                    hold()
             if size > BLOB_ENTRIES:
+                hold()
                 yield from flush()
                 size = 0
+        hold()
         yield from flush()
 
     return run
 
 
+def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    rows = len(columns[0])
+    filled = [np.full(rows, kind, dtype=np.int32), *columns]
+    return pa.RecordBatch.from_arrays([*map(pa.array, filled), *[pa.nulls(rows, f.type) for f in list(PAIR)[len(filled) :]]], schema=PAIR)
+
+
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket: candidate pairs (kind 0), sketches (kind 1) and copies (kind 2)."""
     blobs = {0: [], 1: [], 2: []}
     for batch in batches:
         for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
             blobs[kind].append(data)
-    for kind, width in ((1, 3), (2, 2)):
+    for kind, width in ((1, 2 + len(SKETCH)), (2, 2)):
         for data in blobs[kind]:
             rows = np.frombuffer(data, dtype=np.int64).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([np.full(len(rows), kind, dtype=np.int32), rows[:, 0].copy(), rows[:, 1].copy(), rows[:, -1].copy()], schema=PAIR)
+            yield _batch(kind, *[rows[:, n].copy() for n in range(width)])
     if not blobs[0]:
         return
     flat = np.frombuffer(b"".join(blobs[0]), dtype=ENTRY)
@@ -168,8 +180,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if count > 500_000 or not len(at):
             pairs = np.unique(np.concatenate(found), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            zero = np.zeros(len(pairs), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([zero.astype(np.int32), pairs[:, 0].copy(), pairs[:, 1].copy(), zero], schema=PAIR)
+            yield _batch(0, pairs[:, 0].copy(), pairs[:, 1].copy())
             found, count = [], 0
 
 
@@ -185,13 +196,20 @@ def _similar(records: DataFrame, key: str, texts: list[str], share: tuple[int, i
     buckets = max(48, -(-records.count() * BANDS // ENTRIES_A_BUCKET))
     signed = base.select("k", "text").mapInArrow(_signed(buckets), "bucket int, kind int, data binary")
     # a task a bucket: left to itself, Spark puts many of these few large rows into one task
-    found = written(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_paired, "kind int, a long, b long, c long"), "near-duplicates")
-    sketch = found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("s0"), F.col("c").alias("s1")).dropDuplicates(["k"])
-    first = sketch.select(F.col("k").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    second = sketch.select(F.col("k").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    candidates = found.where("kind = 0").select("a", "b").repartition("a").dropDuplicates(["a", "b"]).join(first, "a").join(second, "b")
-    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    near = written(candidates.where(differ <= SKETCH_DIFFER).select("a", "b"), "near-candidates")
+    schema = "kind int, a long, b long, " + ", ".join(f"{s} long" for s in SKETCH)
+    found = written(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_paired, schema), "near-duplicates")
+    sketched = found.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("n"), *SKETCH).dropDuplicates(["k"])
+    side = lambda x: sketched.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), *[F.col(s).alias(f"{s}{x}") for s in SKETCH])
+    first, second = side("a"), side("b")
+    pairs = found.where("kind = 0").select("a", "b")
+    differ = reduce(add, [F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in SKETCH])
+    # sets of m and n words at the share p / q differ in (m + n) (q - p) / (p + q) words at most, and in no fewer than their sketches do
+    may = differ * (share[0] + share[1]) <= (F.col("na") + F.col("nb")) * (share[1] - share[0])
+    if found.where("kind = 1").count() <= BROADCAST_KEYS:
+        near = pairs.join(F.broadcast(first), "a").join(F.broadcast(second), "b").where(may).select("a", "b").dropDuplicates()
+    else:
+        near = pairs.repartition("a").dropDuplicates(["a", "b"]).join(first, "a").join(second, "b").where(may).select("a", "b")
+    near = written(near, "near-candidates")
     copies = found.where("kind = 2").select(F.col("a").alias("rep"), F.col("b").alias("k")).where("rep != k").dropDuplicates()
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("k")).union(copies.select(F.explode(F.array("rep", "k")).alias("k"))).dropDuplicates()
@@ -216,8 +234,8 @@ def similar_pairs(records: DataFrame, key: str, texts: list[str], share: tuple[i
 
     Null texts count as empty; records without any word are in no pair; rows
     that repeat a key count once; equal word sets are pairs too. Similarity is
-    verified exactly; a pair at 0.75 is missed with probability 0.015, one at
-    0.80 with 0.0003, one at 0.85 with 2e-7 (README).
+    verified exactly; a pair at 0.75 is missed with probability 5e-5, one at
+    0.76 with 1e-5, one at 0.80 with 1e-8 (README).
     """
     similar, member, rep_ids = _similar(records, key, texts, share)
     group = member.union(rep_ids)

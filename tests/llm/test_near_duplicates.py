@@ -82,3 +82,27 @@ def test_empty(spark):
 def test_group_of_copies_is_folded(spark):
     rows = [(f"c{k:03}", "the same opening", "again and again", 0, "", "") for k in range(40)] + [("near", "the same opening", "again and again", 0, "", "")]
     assert nd.similar_pairs(spark.createDataFrame(rows, SCHEMA), "job_id", ["title", "description"]).count() == 41 * 40 // 2
+
+
+def test_hardly_a_pair_at_the_threshold_shares_no_band():
+    rng = np.random.default_rng(3)
+    ids = mix(np.arange(900, dtype=np.uint64), 9)
+    dart = DartMinHash(nd.COORDINATES)
+    missed = 0
+    for _ in range(1_000):
+        words = rng.permutation(ids)[:80]
+        a, b = words[:70], np.r_[words[:60], words[70:]]  # 60 of 80 words in common
+        keys = nd.band_keys(np.stack([dart.signature(a), dart.signature(b)]))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 2
+    assert nd.COORDINATES >= nd.ROWS * nd.BANDS
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_words():
+    rng = np.random.default_rng(4)
+    ids = mix(np.arange(3_000, dtype=np.uint64), 9)
+    for size in (1, 20, 150, 900):
+        words = rng.permutation(ids)
+        a, b = words[: size + 1], words[size // 4 : size + size // 4]
+        differ = sum(int(x).bit_count() for x in (nd.sketch(a) ^ nd.sketch(b)).view(np.uint64))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
