@@ -1,12 +1,12 @@
 """Problem 6: new batches checked against everything accepted before.
 
-Every accepted posting leaves four hashes in a bucketed table: of its page
+Every accepted posting leaves five hashes in a bucketed table: of its page
 (canonical url), of its whole normalised content (title and company), and of
-two paragraphs of it (the title with the start and with the end of the
-company, so that a slip in one leaves the other whole). A batch is joined to
+three paragraphs of it (the title with each third of the company; two edits
+leave a third whole, at most two letters from its place). A batch is joined to
 that table bucket by bucket on the hash; a shared page or whole content is a
 full copy, a shared paragraph is a near copy if the companies are at most two
-edits apart. Then the hashes of the accepted rows are appended. The postings
+edits apart (one slip in names of three or four letters). Then the hashes of the accepted rows are appended. The postings
 themselves are read once, when the table is built.
 """
 
@@ -28,6 +28,8 @@ from millrace.session import cut, shared_folder
 RARE_SHARE = 3_000
 MAX_TITLE_WORDS = 40
 COMPANY_EDITS = 2
+#: Cores from this length on may be COMPANY_EDITS apart, shorter ones a slip (one edit or a swap of neighbours), those below three letters nothing.
+TWO_EDITS_FROM = 5
 PAGE, CONTENT, NEAR = 0, 1, 2
 # Abbreviations of title words.
 ABBREVIATIONS = {
@@ -113,7 +115,7 @@ class TitleReader:
 
 
 def read_keys(rows: DataFrame, keep: list[str], vocabulary: dict[str, int]) -> DataFrame:
-    """``keep`` and ``page``, ``title_key``, ``core`` of each row; null parts come out null."""
+    """``keep`` and ``page``, ``title_key``, ``core`` of each row, null where there is none, and its stored and asked paragraph hashes ``parts`` and ``asks``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = TitleReader(dict(vocabulary))
@@ -126,22 +128,66 @@ def read_keys(rows: DataFrame, keep: list[str], vocabulary: dict[str, int]) -> D
     staged = rows.select(*keep, canonical_page(F.col("url")).alias("page"), company_core(F.col("company_normalized")).alias("core"), "title_normalized")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in staged.schema.fields)
     read = staged.mapInPandas(run, schema)
-    return read.select(*keep, "page", F.when(F.col("title_normalized") != "", F.col("title_normalized")).alias("title_key"), F.when(F.col("core") != "", F.col("core")).alias("core"))
+    keyed = read.select(*keep, "page", F.when(F.col("title_normalized") != "", F.col("title_normalized")).alias("title_key"), F.when(F.col("core") != "", F.col("core")).alias("core"))
+    t, c = F.col("title_key"), F.col("core")
+    return keyed.select("*", stored_parts(t, c).alias("parts"), asked_parts(t, c).alias("asks"))
+
+
+def _third(length: Column, i: int) -> tuple[Column, Column]:
+    """(start, length) of the i-th third (1 to 3) of a core of this length; later thirds are the longer ones."""
+    q, rest = F.floor(length / 3).cast("int"), length % 3
+    second = q + (rest == 2).cast("int")
+    third = q + (rest >= 1).cast("int")
+    return [(F.lit(1), q), (q + 1, second), (length - third + 1, third)][i - 1]
+
+
+def _part(title: Column, core: Column, length: Column, i: int, shift: int) -> Column:
+    """Hash of the piece of ``core`` that stands ``shift`` letters from where a core of ``length`` has its i-th third; null where there is none."""
+    start, size = _third(length, i)
+    start = start + shift
+    return F.when(title.isNotNull() & (length >= 3) & (start >= 1) & (start + size - 1 <= F.length(core)), F.xxhash64(F.lit("part"), title, length, F.lit(i), F.substring(core, start, size)))
+
+
+def stored_parts(title: Column, core: Column) -> Column:
+    """The three paragraph hashes of a title and company; none for a core below three letters."""
+    return F.array_compact(F.array(*[_part(title, core, F.length(core), i, 0) for i in (1, 2, 3)]))
+
+
+def asked_parts(title: Column, core: Column) -> Column:
+    """All paragraph hashes that some core at most two edits away has stored.
+
+    Of two edits, at least one third of the other core has none. The first that
+    is whole has at most one edit a third before it and as few behind it, which
+    bounds its shift: the selection of Pass-Join, complete for two edits.
+    """
+    found = []
+    for longer in range(-COMPANY_EDITS, COMPANY_EDITS + 1):  # letters by which this core is longer than the other
+        for i in (1, 2, 3):
+            for shift in range(max(1 - i, longer - 3 + i), min(i - 1, longer + 3 - i) + 1):
+                found.append(_part(title, core, F.length(core) - longer, i, shift))
+    return F.array_compact(F.array(*found))
+
+
+def near_cores(a: Column, b: Column) -> Column:
+    """Are two cores the same but for slips?"""
+    edits = F.levenshtein(a, b, COMPANY_EDITS)
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: b == F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))))
+    short = F.least(F.length(a), F.length(b))
+    return F.when(short >= TWO_EDITS_FROM, edits >= 0).when(short >= 3, edits.isin(0, 1) | ((edits == 2) & swapped)).otherwise(a == b)
+
+
+def whole(title: str, core: str) -> Column:
+    """Hash of the whole content; null where a part of it is."""
+    return F.when(F.col(title).isNotNull() & F.col(core).isNotNull(), F.xxhash64(F.lit("all"), title, core))
 
 
 def hashes(page: str, title: str, core: str) -> Column:
-    """The array of (kind, h, core) a posting leaves; parts that are null leave none."""
-    t, c = F.col(title), F.col(core)
-    piece = lambda *x: F.xxhash64(*x)
+    """The array of (kind, h, core) a posting with its ``parts`` leaves; what is null leaves none."""
+    c = F.col(core)
     none = F.lit(None).cast("string")
-    return F.array_compact(
-        F.array(
-            F.when(F.col(page).isNotNull(), F.struct(F.lit(PAGE).alias("kind"), piece(F.lit("page"), F.col(page)).alias("h"), none.alias("core"))),
-            F.when(t.isNotNull() & c.isNotNull(), F.struct(F.lit(CONTENT).alias("kind"), piece(F.lit("all"), t, c).alias("h"), none.alias("core"))),
-            F.when(t.isNotNull() & c.isNotNull(), F.struct(F.lit(NEAR).alias("kind"), piece(F.lit("head"), t, F.left(c, F.lit(5))).alias("h"), c.alias("core"))),
-            F.when(t.isNotNull() & c.isNotNull(), F.struct(F.lit(NEAR).alias("kind"), piece(F.lit("tail"), t, F.right(c, F.lit(5))).alias("h"), c.alias("core"))),
-        )
-    )
+    one = lambda kind, h, own: F.struct(F.lit(kind).alias("kind"), h.alias("h"), own.alias("core"))
+    full = [F.when(F.col(page).isNotNull(), one(PAGE, F.xxhash64(F.lit("page"), page), none)), F.when(whole(title, core).isNotNull(), one(CONTENT, whole(title, core), none))]
+    return F.concat(F.array_compact(F.array(*full)), F.transform("parts", lambda h: one(NEAR, h, c)))
 
 
 class History:
@@ -153,7 +199,7 @@ class History:
         self.path = f"{shared_folder(spark)}/{self.name}"
 
     def append(self, postings: DataFrame) -> None:
-        """Add postings (job_id, rank, page, title_key, core): of equal hashes the lowest rank owns."""
+        """Add postings (job_id, rank, page, title_key, core, parts): of equal hashes the lowest rank owns."""
         rows = postings.select("job_id", "rank", F.explode(hashes("page", "title_key", "core")).alias("x")).select("job_id", "rank", "x.*")
         owned = rows.groupBy("h", "kind", "core").agg(F.min(F.struct("rank", "job_id")).alias("owner"))
         flat = owned.select("h", "kind", "core", F.col("owner.rank").alias("rank"), F.col("owner.job_id").alias("job_id"))
@@ -169,15 +215,20 @@ class History:
 
     def matches(self, batch: DataFrame) -> DataFrame:
         """(arrival_id, job_id) of the batch rows that repeat an accepted posting: a page first, then whole content, then near content."""
-        asked = batch.select("arrival_id", F.explode(hashes("page", "title_key", "core")).alias("x")).select("arrival_id", "x.*")
+        one = lambda kind, h: F.when(h.isNotNull(), F.struct(F.lit(kind).alias("kind"), h.alias("asked")))
+        page = F.when(F.col("page").isNotNull(), F.xxhash64(F.lit("page"), "page"))
+        content = whole("title_key", "core")
+        asked = batch.select("arrival_id", F.explode(F.array_compact(F.array(one(PAGE, page), one(CONTENT, content), one(NEAR, content)))).alias("x")).select("arrival_id", "x.*")
         # each hash meets the table once, however many rows of the batch share it; the way back to the rows is a join that can be split
-        once = asked.select("h", "kind", "core").dropDuplicates()
+        once = asked.where(F.col("kind") != NEAR).dropDuplicates().select("kind", "asked", F.col("asked").alias("h"), F.lit(None).cast("string").alias("core"))
+        names = batch.where(content.isNotNull()).select(content.alias("asked"), "core", "asks").dropDuplicates(["asked"])
+        parts = names.select(F.lit(NEAR).alias("kind"), "asked", F.explode("asks").alias("h"), "core")
         held = self.table().select(F.col("h").alias("h2"), F.col("kind").alias("kind2"), F.col("core").alias("core2"), F.col("rank"), F.col("job_id"))
         on = (F.col("h") == F.col("h2")) & (F.col("kind") == F.col("kind2"))
-        met = once.join(held, on).where((F.col("kind") != NEAR) | (F.levenshtein("core", "core2", COMPANY_EDITS) >= 0))
+        met = once.union(parts).join(held, on).where((F.col("kind") != NEAR) | near_cores(F.col("core"), F.col("core2")))
         edits = F.when(F.col("kind") == NEAR, F.levenshtein("core", "core2")).otherwise(0)
-        told = met.groupBy("h", "kind", F.coalesce("core", F.lit("")).alias("c")).agg(F.min(F.struct(edits.alias("edits"), "rank", "job_id")).alias("m"))
-        back = asked.select("arrival_id", "h", "kind", F.coalesce("core", F.lit("")).alias("c")).join(told, ["h", "kind", "c"])
+        told = met.groupBy("kind", "asked").agg(F.min(F.struct(edits.alias("edits"), "rank", "job_id")).alias("m"))
+        back = asked.join(told, ["kind", "asked"])
         return back.groupBy("arrival_id").agg(F.min(F.struct("kind", "m")).alias("m")).select("arrival_id", "m.m.job_id")
 
 
@@ -187,20 +238,22 @@ def same_core(rows: DataFrame) -> DataFrame:
     Companies of a title are compared once each, over the same paragraph
     hashes; each takes the name of the most frequent company near it.
     """
-    names = rows.where(F.col("title_key").isNotNull() & F.col("core").isNotNull()).groupBy("title_key", "core").agg(F.count("*").alias("n"))
-    parts = names.select("title_key", "core", "n", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.left("core", F.lit(5))), F.concat(F.lit(">"), F.right("core", F.lit(5)))))).alias("part"))
-    other = parts.select("title_key", "part", F.col("core").alias("core2"), F.col("n").alias("n2"))
-    near = parts.join(other, ["title_key", "part"]).where(F.levenshtein("core", "core2", COMPANY_EDITS) >= 0)
-    chosen = near.groupBy("title_key", "core").agg(F.max(F.struct("n2", "core2")).alias("m")).select("title_key", "core", F.col("m.core2").alias("named"))
-    again = chosen.select("title_key", F.col("core").alias("named"), F.col("named").alias("named2"))
-    settled = chosen.join(again, ["title_key", "named"]).select("title_key", "core", F.xxhash64("title_key", "named2").alias("content"))
-    return rows.join(settled, ["title_key", "core"], "left")
+    rows = rows.withColumn("_whole", whole("title_key", "core"))
+    names = rows.where(F.col("_whole").isNotNull()).groupBy("_whole").agg(F.count("*").alias("n"), *[F.any_value(k).alias(k) for k in ("core", "parts", "asks")])
+    asked = names.select("_whole", "core", F.explode("asks").alias("part"))
+    other = names.select(F.explode("parts").alias("part"), F.col("_whole").alias("whole2"), F.col("core").alias("core2"), F.col("n").alias("n2"))
+    near = asked.join(other, "part").where(near_cores(F.col("core"), F.col("core2"))).select("_whole", "n2", "core2", "whole2")
+    near = near.union(names.select("_whole", "n", "core", "_whole"))  # a core below three letters has no parts
+    chosen = near.groupBy("_whole").agg(F.max(F.struct("n2", "core2", "whole2")).alias("m")).select("_whole", F.col("m.whole2").alias("named"))
+    again = chosen.select(F.col("_whole").alias("named"), F.col("named").alias("content"))
+    settled = chosen.join(again, "named").select("_whole", "content")
+    return rows.join(settled, "_whole", "left").drop("_whole")
 
 
 def settle(fresh: DataFrame) -> DataFrame:
     """Which rows that repeat nothing in the history repeat an earlier row of their own batch.
 
-    ``fresh``: arrival_id, job_id, page, title_key, core. Gives arrival_id,
+    ``fresh``: arrival_id, job_id, page, title_key, core, parts, asks. Gives arrival_id,
     job_id, owner (null for an accepted row). A row that comes first in both its
     page and its content is accepted; whatever shares either with it later is a
     repeat; what is left goes round again. Only two minima per key are taken, so

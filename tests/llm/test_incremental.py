@@ -1,5 +1,6 @@
 """Problem 6: what repeats an accepted posting, batch after batch."""
 
+import random
 from datetime import datetime, timezone
 
 from millrace.llm import incremental as inc
@@ -59,3 +60,34 @@ def test_pages(spark):
     urls = ["https://www.Site.example/Jobs/1/", "http://site.example/Jobs/1?utm_medium=x&trk=2", "https://site.example/Jobs/1?jk=5", "https://site.example/Jobs/1?b=1&jk=5#x", "", None]
     got = [r.p for r in spark.createDataFrame([(u,) for u in urls], "u string").select(inc.canonical_page(inc.F.col("u")).alias("p")).collect()]
     assert got == ["site.example/Jobs/1", "site.example/Jobs/1", "site.example/Jobs/1?jk=5", "site.example/Jobs/1?b=1&jk=5", None, None]
+
+
+def test_a_slip_in_a_short_company(spark):
+    slips = [("ibm", "ibn"), ("ebay", "ebya"), ("kpmg", "kpg"), ("telus", "tellus"), ("rogers", "rodgers"), ("shopify", "shoqify"), ("stripe", "srtipe"), ("deloitte", "deloite"), ("accenture", "accemture"), ("microsoft", "nicrosoft"), ("ulmcelskoforestry", "ulmxelskofoxestry"), ("bombardierrail", "xbombardierraiz")]
+    title = "senior data scientist fraud amber falcon"
+    jobs = spark.createDataFrame([(f"j{k}", None, title, a, None, T, "", 0) for k, (a, _) in enumerate(slips)] + [(f"f{k}", None, t, f"filler{k} media", None, T, "", 0) for k, t in enumerate(TITLES)], JOBS)
+    rows = [(k, 1, f"n{k}", None, title, b, "") for k, (_, b) in enumerate(slips)] + [(98, 1, "n98", None, title, "hp", ""), (99, 1, "n99", None, title, "hq", "")]
+    got = {r.arrival_id: r.job_id for r in inc.check_batches(jobs, spark.createDataFrame(rows, NEW)).collect()}
+    assert got == {k: f"j{k}" for k in range(len(slips))}
+    # and inside a batch
+    rows = [(2 * k + m, 1, f"n{2 * k + m}", None, title, name, "") for k, pair in enumerate(slips) for m, name in enumerate(pair)]
+    got = {r.arrival_id: r.job_id for r in inc.check_batches(jobs.where("job_id like 'f%'"), spark.createDataFrame(rows, NEW)).collect()}
+    assert got == {2 * k + 1: f"n{2 * k}" for k in range(len(slips))}
+
+
+def test_parts_meet_whatever_two_edits_do(spark):
+    rng = random.Random(2)
+    rows = []
+    for size in list(range(3, 13)) * 60:
+        a = [rng.choice("abcdefgh") for _ in range(size)]
+        b = list(a)
+        for _ in range(2):
+            at = rng.randrange(len(b) + 1)
+            what = rng.randrange(3)
+            b[at : at + (what > 0)] = [rng.choice("abcdefgh")] if what < 2 else []
+        if len(b) >= 3:
+            rows.append(("t", "".join(a), "".join(b)))
+    f = inc.F
+    seen = spark.createDataFrame(rows, "t string, a string, b string").where("levenshtein(a, b) <= 2")
+    missed = seen.where(~f.arrays_overlap(inc.asked_parts(f.col("t"), f.col("a")), inc.stored_parts(f.col("t"), f.col("b"))))
+    assert seen.count() > 500 and missed.collect() == []
