@@ -81,7 +81,7 @@ def _scale(figure: Column) -> Column:
 
 def read_pay(rows: DataFrame, text: str) -> DataFrame:
     """Adds low, high (unscaled), low_scale, high_scale, currency and period as far as ``text`` states them; low is null without a figure."""
-    rows = rows.withColumn("_mr_t", _tidy(F.substring(F.col(text), 1, 1_000)))
+    rows = rows.withColumn("_mr_t", _tidy(F.col(text)))
     rows = rows.withColumn("_mr_n", F.regexp_extract_all(F.regexp_replace("_mr_t", NOT_PAY, " "), F.lit(f"({SCALED})"), F.lit(1)))
     rows = rows.withColumns({"_mr_a": F.get("_mr_n", F.lit(0)), "_mr_b": F.get("_mr_n", F.lit(1))})
     rows = rows.withColumns({"low": _amount(F.col("_mr_a")), "high": _amount(F.col("_mr_b")), "low_scale": _scale(F.col("_mr_a")), "high_scale": _scale(F.col("_mr_b")), "currency": _first(F.col("_mr_t"), CURRENCIES), "period": _first(F.col("_mr_t"), PERIODS)})

@@ -75,3 +75,8 @@ def test_forest_predicts_units_it_has_seen(spark):
     model = units.train(units.labelled_postings(ready), "id")
     told = model.predict(units.labelled_postings(ready)).selectExpr("avg(cast(predicted = label as int)) AS a", "min(confidence) AS c").first()
     assert told.a > 0.95 and told.c >= 0.9
+
+
+def test_pay_is_read_from_the_whole_text(spark):
+    got = units.read_pay(spark.createDataFrame([("benefits and more, " * 80 + "CA$45 per hour",)], "t string"), "t").first()
+    assert (got.low, got.currency, got.period) == (45.0, "CAD", "hour")
