@@ -305,7 +305,7 @@ def map_values(values: DataFrame, keys: list[str], locations: DataFrame, sizes:
             for field, value in zip(pdf["field_name"], pdf["value"]):
                 ref = seen.get((field, value))
                 if ref is None:
-                    ref = (place if field == "location" else label).match(value[:400])
+                    ref = (place if field == "location" else label).match(value)
                     if len(seen) < 500_000:
                         seen[field, value] = ref
                 out.append(ref)

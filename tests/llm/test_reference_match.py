@@ -65,3 +65,10 @@ def test_rows(spark):
     assert rm.canonical_values(spark.createDataFrame([], jobs), places, sizes).count() == 0
     empty = rm.canonical_values(spark.createDataFrame(rows, jobs), places.limit(0), sizes.limit(0)).collect()
     assert {r.ref_id for r in empty} == {-1}
+
+
+def test_the_whole_value_is_matched(spark):
+    places = spark.createDataFrame(PLACES, "ref_id int, location_name string")
+    sizes = spark.createDataFrame(SIZES, "ref_id int, size_label string, min_employees int, max_employees int")
+    values = spark.createDataFrame([("late", "location", " " * 450 + "Vancouver, BC"), ("foreign", "location", "Vancouver" + " " * 450 + ", WA")], "k string, field_name string, value string")
+    assert {r.k: r.ref_id for r in rm.map_values(values, ["k"], places, sizes).collect()} == {"late": 1, "foreign": -1}
