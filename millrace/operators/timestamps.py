@@ -146,7 +146,7 @@ def normalise_timestamps(rows: DataFrame, text: str, zone: str, seen_at: str, ou
     ``_mr_`` are this operator's own.
     """
     kept = [c for c in rows.columns if c != out]
-    tidy = F.trim(F.regexp_replace(F.substring(F.col(text), 1, 200), r"[\s\u00a0\u202f]+", " "))
+    tidy = F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " "))
     staged = rows.withColumn("_mr_text", tidy)
     digits = F.col("_mr_text").rlike(r"^\d+(?:\.\d+)?$") & ~F.col("_mr_text").rlike(r"^\d{8}$")
     staged = staged.withColumn("_mr_parts", F.when(~digits, _parts(F.col("_mr_text"))))

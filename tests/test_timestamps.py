@@ -78,3 +78,9 @@ def test_repeats_nulls_empty_and_extra_columns(spark):
     assert [tuple(r) for r in posting_instants(rows).collect()] == [("a", 1735689600000000)]
     assert posting_instants(rows.limit(0)).count() == 0
     assert "kept" in normalise_timestamps(rows.withColumn("kept", F.lit(1)), "posted_date", "site_tz", "scraped_at", "posted_us").columns
+
+
+def test_the_whole_value_is_read(spark):
+    schema = "id string, posted_date string, site_tz string, scraped_at timestamp"
+    rows = spark.createDataFrame([("a", " " * 250 + "2025-01-01", None, SEEN), ("b", "2025-01-01" + " " * 250 + "or so", None, SEEN)], schema)
+    assert [tuple(r) for r in posting_instants(rows).collect()] == [("a", 1735689600000000)]
