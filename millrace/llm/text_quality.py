@@ -3,13 +3,16 @@
 Each document gets a vector of statistics. A Gaussian mixture is fitted to the
 standardised vectors of all documents by expectation-maximization (one pass a
 round, only sufficient statistics leave a task), and its components are named
-prose, list, table or junk by the inspected examples below.
+prose, list, table or junk by the inspected examples below, from which they
+are also seeded. The components decide; only where a component straddles
+prose and the rest are its documents settled by their share of sentences.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,17 +29,19 @@ COMMON = frozenset(
     "le la les un une des du de et en est que qui dans pour sur pas plus par avec nous vous ils elle sont au aux ce cette ou mais si leur son sa ses votre notre nos vos être avoir".split()
 )
 STATISTICS = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "closed_line_share", "common_share", "upper_share", "words_per_line", "marked_line_share", "sentence_share")
-COMPONENTS = 8
-ROUNDS = 30
-#: Rows that may seed the components; every row takes part in the fit.
+#: Components seeded for each kind.
+COMPONENTS = {"prose": 3, "list": 2, "table": 2, "junk": 3}
+#: The fit ends when the mean log-likelihood rises by less than this share of itself; a fit that hasn't ended after STUCK rounds is an error.
+TOLERANCE, STUCK = 1e-4, 1_000
+#: Rows that seed the components; every row takes part in the fit.
 SEED_ROWS = 2_000
 #: Least variance of a component along each statistic, in standard deviations squared.
 RIDGE = 0.02
-KINDS = ("prose", "list", "table", "junk")
-#: A document is taken for prose without a look at its sentences only above this probability and within this many
-#: standard deviations of a component whose share of sentences lies as many above one half. Nothing below one half can.
-SURE = 0.99
-NEAR = 4.0
+KINDS = tuple(COMPONENTS)
+#: A component is clear if its share of sentences lies this many of its own standard deviations on its kind's side of one half.
+CLEAR = 2.0
+#: Probability of clear components from which they decide about a document.
+SURE = 0.9
 
 SENTENCE_END = re.compile(r"[.!?…]+[\"'»”’)\]]*(?=\s|$)")
 SYMBOL = re.compile(r"[^\w\s]")
@@ -136,7 +141,30 @@ EXAMPLES = (
     ("junk", "A good answer takes time, and most people know it.\nHome\nLogin\nHelp\nShare\nPrint\nCookies\nHome\nSign up\nAlerts\nPrivacy\nNext »\n« Back\nHelp\nHome\nLogin\nShare\nCookies\nAlerts\nPrint\nHelp"),
     ("junk", "They met twice before the offer was made.\n{}<>##%% ~~ ||==@@ \\x0 %%&& {}{} ==~~ ??<> @@## ||%% \\x\\x ~~&& <>{} ==## {}<>##%% ~~ ||==@@ \\x0 %%&& {}{} ==~~ ??<> @@##"),
     ("junk", "DATA ENGINEER DATA ENGINEER REMOTE DATA ENGINEER REMOTE REMOTE DATA ENGINEER APPLY DATA ENGINEER APPLY REMOTE DATA"),
+    ("prose", "Halifax | 42 | load tests\nRegina | 15 | notebooks\nLaval | 84 | ledgers\n\nWho decides about the budget of a team? The people who have to live with it should, and they rarely do. We met twelve people who left because of that and two who came for it.\n\nOpinions differ on whether a test is worth the time it takes. It shows what a talk can not, and most people are glad of it in the end. The rest would have been unhappy anyway."),
+    ("prose", "THE TIRED CLERK LEFT THE OFFICE BEFORE THE LETTER WAS SIGNED, AND NOBODY KNEW WHO HAD SENT IT.\n\nMost people work from a small room once a week, and nobody counts the hours. You have worked beside others and enjoyed it. Please tell us about the report that drew you here, and what you would change in it."),
+    ("prose", "Notes\n\nTell the panel which report changed since your last attempt. It is better to say it early, because they will ask. When they do, be short.\n- dental cover\n- transit passes\n- quiet rooms\n- learning budget\nAll of this is the same for everyone who joins, and it does not change in the first year."),
+    ("junk", "They will wait for a week if the forms are late, and so will the others.\n" + "CARD FRAUD PLAYBOOK RUST ROADMAP CARD FRAUD RUST PLAYBOOK ROADMAP RUST CARD FRAUD " * 6),
+    ("junk", "The distance matters less than it did. Some of us once said that it can not be taught, only seen.\n" + "best hiring best data scientist vacancy jobs apply job jobs load tests job near me vacancy hiring salary " * 4),
+    ("list", "There is more to the place than a desk, and they will show you around.\nflexible hours\ndental cover\nsurvey answers\nload tests\nnotebooks\nmentoring\nrelocation\ntransit passes\nledger entries\nquiet rooms\nparking\nlearning budget"),
+    ("table", "We keep a list of what was paid, and it will be out of date by the time you read it.\nrole | town | from | to\nAnalyst | Guelph | 60000 | 90000\nEngineer | Oshawa | 80000 | 120000\nScientist | Laval | 85000 | 130000\nDeveloper | Barrie | 70000 | 99000\nAnalyst | Regina | 61000 | 88000\nClerk | Moncton | 41000 | 52000"),
 )
+#: Each example also stands for texts so many times as long.
+LENGTHS = (1, 5, 20, 100, 1_000, 10_000)
+
+
+@lru_cache(1)
+def inspected() -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of all examples, at all lengths, and the numbers of their kinds."""
+    rows, kinds = [], []
+    for kind, text in EXAMPLES:
+        own, words = statistics(text), len(text.split())
+        for n in LENGTHS:
+            # repeated, a text has more words, but all shares stay; one line without an end grows with them
+            longer = float(np.log1p(n * words)) if kind != "prose" and "\n" not in text else own[7]
+            rows.append((float(np.log1p(n * words)), *own[1:7], longer, *own[8:]))
+            kinds.append(KINDS.index(kind))
+    return np.array(rows), np.array(kinds)
 
 
 def document_statistics(documents: DataFrame) -> DataFrame:
@@ -170,16 +198,6 @@ class Mixture:
             out[:, k] = np.log(max(w, 1e-300)) + self.log_scale[k] - 0.5 * np.einsum("ij,ij->i", z, z) - 0.5 * x.shape[1] * np.log(2 * np.pi)
         return out
 
-    def distances(self, raw: np.ndarray) -> np.ndarray:
-        """(rows, components): squared Mahalanobis distances."""
-        x = (raw - self.centre) / self.scale
-        return np.stack([(((x - m) @ w.T) ** 2).sum(axis=1) for m, w in zip(self.means, self.whiten)], axis=1)
-
-    def sound(self, kinds: list[str]) -> list[int]:
-        """The components of prose that lie NEAR deviations above one half of sentences."""
-        share = [(m[-1] * self.scale[-1] + self.centre[-1], np.sqrt(c[-1, -1]) * self.scale[-1]) for m, c in zip(self.means, self.covariances)]
-        return [k for k, kind in enumerate(kinds) if kind == "prose" and share[k][0] - NEAR * share[k][1] >= 0.5]
-
     def responsibilities(self, raw: np.ndarray) -> tuple[np.ndarray, float]:
         """Shares of the components in each row, and the log-likelihood of the rows."""
         logs = self.logs(raw)
@@ -189,9 +207,8 @@ class Mixture:
         return p / total, float((top + np.log(total)).sum())
 
     def kinds(self) -> list[str]:
-        """The kind of each component: that of the examples that fall to it, else of the example nearest to its mean."""
-        raw = np.array([statistics(t) for _, t in EXAMPLES])
-        named = np.array([KINDS.index(k) for k, _ in EXAMPLES])
+        """The kind of each component: that of the examples that fall to it, else of the example nearest to it in its own spread."""
+        raw, named = inspected()
         logs = self.logs(raw) - np.log(np.maximum(self.weights, 1e-300))
         share = np.exp(logs - logs.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
@@ -199,76 +216,104 @@ class Mixture:
         out = []
         for k in range(len(self.weights)):
             votes = np.bincount(named, weights=share[:, k], minlength=len(KINDS))
-            best = int(votes.argmax()) if votes.max() > 0.5 else int(named[((x - self.means[k]) ** 2).sum(axis=1).argmin()])
-            if KINDS[best] == "prose" and self.means[k][-1] * self.scale[-1] + self.centre[-1] < 0.6:
-                # no component of half sentences is prose: the nearest other kind
-                best = int(np.where(named > 0, named, 0)[np.where(named > 0, ((x - self.means[k]) ** 2).sum(axis=1), np.inf).argmin()])
-            out.append(KINDS[best])
+            far = (((x - self.means[k]) @ self.whiten[k].T) ** 2).sum(axis=1)
+            out.append(KINDS[int(votes.argmax()) if votes.max() > 0.5 else int(named[far.argmin()])])
         return out
 
-
-def fit(stats: DataFrame, components: int = COMPONENTS, rounds: int = ROUNDS, tolerance: float = 1e-4) -> Mixture | None:
-    """Fit the mixture to all rows of ``stats``; None for an empty table."""
+    def clear(self, kinds: list[str]) -> tuple[list[int], list[int]]:
+        """(components that are clearly prose, components that clearly aren't); what is in neither straddles."""
+        share = self.means[:, -1] * self.scale[-1] + self.centre[-1]
+        spread = np.sqrt(self.covariances[:, -1, -1]) * self.scale[-1]
+        prose = [k for k, kind in enumerate(kinds) if kind == "prose" and share[k] - CLEAR * spread[k] > 0.5]
+        other = [k for k, kind in enumerate(kinds) if kind != "prose" and share[k] + CLEAR * spread[k] < 0.5]
+        return prose, other
+
+    def state(self) -> tuple:
+        """What a task needs to build it again."""
+        return self.centre, self.scale, self.weights, self.means, self.covariances
+
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        """The sufficient statistics of some rows: mass, first and second moments of each component, and the log-likelihood."""
+        r, log = self.responsibilities(raw)
+        z = (raw - self.centre) / self.scale
+        second = [((z * r[:, k : k + 1]).T @ z).ravel() for k in range(r.shape[1])]
+        return np.append(np.column_stack([r.sum(axis=0), r.T @ z, np.stack(second)]).ravel(), log)
+
+    def next(self, total: np.ndarray) -> Mixture:
+        """The maximization step on sums over all rows."""
+        d = len(self.centre)
+        sums = total[:-1].reshape(len(self.weights), -1)
+        mass = np.maximum(sums[:, 0], 1e-9)
+        means = sums[:, 1 : 1 + d] / mass[:, None]
+        covariances = sums[:, 1 + d :].reshape(-1, d, d) / mass[:, None, None] - means[:, :, None] * means[:, None, :] + RIDGE * np.eye(d)
+        empty = sums[:, 0] < 1e-3
+        covariances[empty], means[empty] = np.eye(d), self.means[empty]
+        return Mixture(self.centre, self.scale, mass / mass.sum(), means, covariances)
+
+    def fitted(self, sums: Callable[[Mixture], np.ndarray], n: int, tolerance: float = TOLERANCE) -> Mixture:
+        """Rounds of expectation and maximization until the likelihood stands; ``sums`` gives the sums of a mixture over all rows."""
+        own, before = self, None
+        for _ in range(STUCK):
+            total = sums(own)
+            own, likelihood = own.next(total), total[-1] / n
+            if before is not None and abs(likelihood - before) < tolerance * max(1.0, abs(before)):
+                return own
+            before = likelihood
+        raise RuntimeError(f"the mixture has not settled in {STUCK} rounds")
+
+
+def seeded(rows: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> Mixture:
+    """A mixture whose components start among the rows nearest to the examples of each kind (k-means++), fitted to these rows alone."""
+    raw, named = inspected()
+    x, examples = (rows - centre) / scale, (raw - centre) / scale
+    nearest = named[np.stack([((x - e) ** 2).sum(axis=1) for e in examples]).argmin(axis=0)]
+    rng = np.random.default_rng(1)
+    means = []
+    for kind, many in enumerate(COMPONENTS.values()):
+        own = x[nearest == kind] if (nearest == kind).any() else examples[named == kind]
+        chosen = [own.mean(axis=0)]
+        far = ((own - chosen[0]) ** 2).sum(axis=1)
+        for _ in range(many - 1):
+            chosen.append(own[rng.choice(len(own), p=far / far.sum())] if far.sum() > 0 else own[0])
+            far = np.minimum(far, ((own - chosen[-1]) ** 2).sum(axis=1))
+        means += chosen
+    k, d = len(means), len(centre)
+    start = Mixture(centre, scale, np.full(k, 1 / k), np.array(means), np.repeat(np.eye(d)[None], k, axis=0))
+    return start.fitted(lambda m: m.sums(rows), len(rows), TOLERANCE / 10)
+
+
+def fit(stats: DataFrame) -> Mixture | None:
+    """Fit the mixture to all rows of ``stats``; None for an empty table.
+
+    A few rows give the seeds, so that the rounds over all rows are few.
+    """
     names = list(STATISTICS)
-    d = len(names)
     moments = stats.agg(F.count("*").alias("n"), *[F.avg(s).alias(f"m_{s}") for s in names], *[F.coalesce(F.stddev_pop(s), F.lit(0.0)).alias(f"s_{s}") for s in names]).first()
     if not moments.n:
         return None
     centre = np.array([moments[f"m_{s}"] for s in names])
     scale = np.array([max(moments[f"s_{s}"], 1e-6) for s in names])
-    seeds = np.array([tuple(r) for r in stats.orderBy(F.xxhash64("doc_id"), *names).limit(SEED_ROWS).select(*names).collect()])
-    x = (seeds - centre) / scale
-    # k-means++ seeds, drawn alike each time
-    rng = np.random.default_rng(1)
-    chosen = [x[0]]
-    far = ((x - chosen[0]) ** 2).sum(axis=1)
-    for _ in range(components - 1):
-        chosen.append(x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else x[0])
-        far = np.minimum(far, ((x - chosen[-1]) ** 2).sum(axis=1))
-    means = np.array(chosen)
-    mixture = Mixture(centre, scale, np.full(components, 1 / components), means, np.repeat(np.eye(d)[None], components, axis=0))
-    before = None
-    for _ in range(rounds):
-        state = (mixture.centre, mixture.scale, mixture.weights, mixture.means, mixture.covariances)
-
-        def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            own = Mixture(*state)
-            sums = np.zeros((components, 1 + d + d * d))
-            likelihood = 0.0
+    few = np.array([tuple(r) for r in stats.orderBy(F.xxhash64("doc_id"), *names).limit(SEED_ROWS).select(*names).collect()])
+
+    def sums(mixture: Mixture) -> np.ndarray:
+        state = mixture.state()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, total = Mixture(*state), 0.0
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                r, log = own.responsibilities(raw)
-                likelihood += log
-                z = (raw - own.centre) / own.scale
-                sums[:, 0] += r.sum(axis=0)
-                sums[:, 1 : 1 + d] += r.T @ z
-                for k in range(components):
-                    sums[k, 1 + d :] += ((z * r[:, k : k + 1]).T @ z).ravel()
-            flat = np.append(sums.ravel(), likelihood)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "v"])
-
-        total = np.zeros(components * (1 + d + d * d) + 1)
-        for row in stats.select(*names).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            total[row.i] = row.v
-        likelihood = total[-1] / moments.n
-        sums = total[:-1].reshape(components, -1)
-        mass = np.maximum(sums[:, 0], 1e-9)
-        means = sums[:, 1 : 1 + d] / mass[:, None]
-        second = sums[:, 1 + d :].reshape(components, d, d) / mass[:, None, None]
-        covariances = second - means[:, :, None] * means[:, None, :] + RIDGE * np.eye(d)
-        empty = sums[:, 0] < 1e-3
-        covariances[empty] = np.eye(d)
-        mixture = Mixture(centre, scale, mass / mass.sum(), means, covariances)
-        if before is not None and abs(likelihood - before) < tolerance * max(1.0, abs(before)):
-            break
-        before = likelihood
-    return mixture
+                if batch.num_rows:
+                    total = total + own.sums(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            if isinstance(total, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+        rows = stats.select(*names).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        return np.array([r.v for r in sorted(rows)])
+
+    return seeded(few, centre, scale).fitted(sums, moments.n)
 
 
 def classify(documents: DataFrame) -> DataFrame:
-    """(doc_id, <statistics>, kind, p_prose, from_prose): every document with its statistics, its kind, the probability that it is prose and its distance from prose in standard deviations.
+    """(doc_id, <statistics>, kind, p_prose, p_other): every document with its statistics, its kind and the probabilities that it falls to a component that clearly is, or clearly isn't, prose.
 
     Null and empty texts count as junk. Repeated rows come out repeated; an
     empty table gives no rows.
@@ -276,34 +321,32 @@ def classify(documents: DataFrame) -> DataFrame:
     stats = cut(document_statistics(documents))
     mixture = fit(stats)
     if mixture is None:
-        return stats.select("*", F.lit("junk").alias("kind"), F.lit(0.0).alias("p_prose"), F.lit(0.0).alias("from_prose"))
-    state = (mixture.centre, mixture.scale, mixture.weights, mixture.means, mixture.covariances)
-    kinds = mixture.kinds()
+        return stats.select("*", F.lit("junk").alias("kind"), F.lit(0.0).alias("p_prose"), F.lit(1.0).alias("p_other"))
+    state, kinds = mixture.state(), mixture.kinds()
+    prose, other = mixture.clear(kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Mixture(*state)
         for pdf in batches:
             if len(pdf):
-                raw = pdf[list(STATISTICS)].to_numpy(dtype="float64")
-                r, _ = own.responsibilities(raw)
+                r, _ = own.responsibilities(pdf[list(STATISTICS)].to_numpy(dtype="float64"))
                 by = np.stack([r[:, [k == kind for k in kinds]].sum(axis=1) for kind in KINDS], axis=1)
                 pdf["kind"] = np.array(KINDS)[by.argmax(axis=1)]
-                pdf["p_prose"] = by[:, 0]
-                prose = own.sound(kinds)
-                pdf["from_prose"] = np.sqrt(own.distances(raw)[:, prose].min(axis=1)) if prose else np.inf
-                pdf.loc[pdf["log_words"] == 0, ["kind", "p_prose"]] = ["junk", 0.0]
+                pdf["p_prose"], pdf["p_other"] = r[:, prose].sum(axis=1), r[:, other].sum(axis=1)
+                pdf.loc[pdf["log_words"] == 0, ["kind", "p_prose", "p_other"]] = ["junk", 0.0, 1.0]
             else:
-                pdf = pdf.assign(kind=pd.Series(dtype="str"), p_prose=pd.Series(dtype="float64"), from_prose=pd.Series(dtype="float64"))
+                pdf = pdf.assign(kind=pd.Series(dtype="str"), p_prose=pd.Series(dtype="float64"), p_other=pd.Series(dtype="float64"))
             yield pdf
 
-    schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", kind string, p_prose double, from_prose double"
+    schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS) + ", kind string, p_prose double, p_other double"
     return stats.mapInPandas(run, schema)
 
 
 def not_prose(documents: DataFrame) -> DataFrame:
     """(doc_id) of documents of which less than half of the characters belong to full sentences.
 
-    The mixture says which documents are surely prose (probable, and not far from
-    its prose); of all others the share of characters in full sentences decides.
+    The clear components decide; a document that falls to none of them with
+    probability SURE is settled by its share of characters in full sentences.
     """
-    return classify(documents).where(((F.col("p_prose") < SURE) | (F.col("from_prose") > NEAR)) & (F.col("sentence_share") < 0.5)).select("doc_id").dropDuplicates()
+    unsure = (F.col("p_prose") < SURE) & (F.col("p_other") < SURE)
+    return classify(documents).where((F.col("p_other") >= SURE) | (unsure & (F.col("sentence_share") < 0.5))).select("doc_id").dropDuplicates()

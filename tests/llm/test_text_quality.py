@@ -40,14 +40,29 @@ def test_verdicts(spark):
     assert len(kinds) == 304 and kinds[900] == "junk" and kinds[902] == "prose" and set(kinds.values()) <= set(tq.KINDS)
 
 
-def test_fit_raises_the_likelihood(spark):
+def test_fit_settles_above_its_seeds(spark):
     stats = tq.document_statistics(spark.createDataFrame(documents(spark), SCHEMA)).cache()
     raw = np.array([tuple(r)[1:] for r in stats.collect()])
-    short, long = tq.fit(stats, rounds=1), tq.fit(stats, rounds=12)
-    assert long.responsibilities(raw)[1] >= short.responsibilities(raw)[1]
-    assert abs(long.weights.sum() - 1) < 1e-9
-    share, _ = long.responsibilities(raw)
-    assert np.allclose(share.sum(axis=1), 1)
+    start, end = tq.seeded(raw[:40], raw.mean(axis=0), np.maximum(raw.std(axis=0), 1e-6)), tq.fit(stats)
+    share, log = end.responsibilities(raw)
+    assert log >= start.responsibilities(raw)[1]
+    assert abs(end.weights.sum() - 1) < 1e-9 and np.allclose(share.sum(axis=1), 1)
+    # another round changes next to nothing
+    again = end.next(end.sums(raw))
+    assert abs(again.responsibilities(raw)[1] - log) < 1e-3 * abs(log)
+
+
+def test_the_mixture_decides(spark, monkeypatch):
+    table = spark.createDataFrame(documents(spark), SCHEMA)
+    got = tq.classify(table).collect()
+    clear = [r for r in got if max(r.p_prose, r.p_other) >= tq.SURE]
+    assert len(clear) > 0.9 * len(got)
+    found = {r.doc_id for r in tq.not_prose(table).collect()}
+    assert all((r.doc_id in found) == (r.p_other >= tq.SURE) for r in clear)
+    # with its clear components exchanged the verdicts turn, whatever the sentences say
+    monkeypatch.setattr(tq.Mixture, "clear", lambda self, kinds: ([k for k, x in enumerate(kinds) if x != "prose"], [k for k, x in enumerate(kinds) if x == "prose"]))
+    turned = {r.doc_id for r in tq.not_prose(table).collect()}
+    assert all((r.doc_id in turned) != (r.doc_id in found) for r in clear)
 
 
 def test_empty(spark):
