@@ -2,15 +2,18 @@
 
 Figures, scale, currency and period are read from text with Catalyst
 expressions. Where the text names no period, a calibrated forest predicts the
-unit from magnitude, source, category and the neighbouring fields; a
-confident prediction is converted if nothing stated beside it contradicts it,
-all others are routed to review and resolved by the order of the stated
-sources (structured fields, then description, then Canadian dollars a year).
+unit from magnitude, source, category and the neighbouring fields. It is
+trained and calibrated on rows whose unit is stated. A confident prediction is
+converted, all other rows are routed to review and settled by the order of the
+stated sources (structured fields, then description, then Canadian dollars a
+year).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -23,9 +26,9 @@ from millrace.session import cut
 
 #: Labelled rows the forest is trained and calibrated on, at most; a fifth of them calibrates.
 TRAINING_ROWS = 12_000
-TREES, DEPTH = 16, 7
+TREES, DEPTH = 16, 10
 #: Calibrated probability from which a prediction counts as confident.
-CONFIDENT = 0.9
+CONFIDENT = 0.95
 BINS = 10
 
 # How texts name currencies and periods, tried in this order.
@@ -45,13 +48,17 @@ PERIODS = (
 )
 # The intervals of structured fields.
 INTERVALS = {"hourly": "hour", "daily": "day", "weekly": "week", "biweekly": "biweek", "monthly": "month", "yearly": "year", "annual": "year"}
-#: The classes of the forest: a period and the scale of its figures.
-UNITS = (("hour", 1.0), ("day", 1.0), ("week", 1.0), ("biweek", 1.0), ("month", 1.0), ("year", 1.0), ("year", 1000.0), ("year", 1_000_000.0))
+#: The classes of the forest: a period and the scale of its figures; the last is an amount that already is Canadian dollars a year.
+UNITS = (("hour", 1.0), ("day", 1.0), ("week", 1.0), ("biweek", 1.0), ("month", 1.0), ("year", 1.0), ("year", 1000.0), ("year", 1_000_000.0), ("done", 1.0))
+DONE = len(UNITS) - 1
 
 FIGURE = r"(?:\d{1,3}(?:[ ,]\d{3})+(?!\d)(?:\.\d+)?|\d+(?:[.,]\d{1,3})?)"
 SCALED = FIGURE + r" ?(?:k\b|m\b|thousand\b|million\b|mille\b)?"
 NOT_PAY = r"\d+(?:[.,]\d+)? ?%|\d+ ?\+? ?(?:years?|yrs?|ans)\b|\b401 ?\(?k\)?"
-SAID_UNIT = r"(?:amounts shown|on this page|pay is quoted|all amounts|figures for pay|salaries are|rates are|amounts are)[^.]{0,120}"
+SAID_UNIT = r"(?:amounts shown|on this page|pay is quoted|all amounts|figures for pay|salaries are|rates are|amounts are)[^.]*"
+#: Words of which every sentence on units, and every pay sentence, holds one: a cheap test that loses nothing before the patterns.
+UNIT_WORDS = ("amounts", "page", "quoted", "figures", "salaries", "rates")
+MONEY_WORDS = ("dollar", "euro", "pound", "cad", "usd", "eur", "gbp")
 SAID_MONEY = r"canadian dollars?|us dollars?|american dollars?|dollars?|euros?|british pounds?|pounds?(?: sterling)?|cad|usd|eur|gbp"
 SAID_PERIOD = r"(?:per|an?|for every|every|each) (?:two weeks|2 weeks|other week|hour|day|week|month|year|annum)|hourly|daily|weekly|biweekly|monthly|yearly|annually"
 SAID_PAY = rf"({FIGURE})(?: ?(?:to|-|and) ?({FIGURE}))? ?(thousand |million |k )?(?:{SAID_MONEY}),? (?:{SAID_PERIOD})"
@@ -91,8 +98,11 @@ def read_pay(rows: DataFrame, text: str) -> DataFrame:
 
 def read_description(rows: DataFrame, description: str) -> DataFrame:
     """Adds what the description says: d_low, d_high, d_scale, d_currency, d_period of a pay sentence and u_scale, u_currency, u_period of a sentence on units."""
-    rows = rows.withColumn("_mr_d", _tidy(F.col(description)))
-    rows = rows.withColumns({"_mr_pay": F.regexp_extract("_mr_d", SAID_PAY, 0), "_mr_unit": F.regexp_extract("_mr_d", SAID_UNIT, 0)})
+    any_of = lambda words: reduce(or_, [F.col("_mr_d").contains(w) for w in words])
+    rows = rows.withColumn("_mr_d", F.lower(F.col(description)))
+    rows = rows.withColumns({"_mr_paid": any_of(MONEY_WORDS), "_mr_united": any_of(UNIT_WORDS)})
+    rows = rows.withColumn("_mr_d", F.when(F.col("_mr_paid") | F.col("_mr_united"), _tidy(F.col("_mr_d"))))
+    rows = rows.withColumns({"_mr_pay": F.when(F.col("_mr_paid"), F.regexp_extract("_mr_d", SAID_PAY, 0)), "_mr_unit": F.when(F.col("_mr_united"), F.regexp_extract("_mr_d", SAID_UNIT, 0))})
     pay, unit = F.col("_mr_pay"), F.col("_mr_unit")
     return rows.withColumns(
         {
@@ -100,27 +110,34 @@ def read_description(rows: DataFrame, description: str) -> DataFrame:
             "d_currency": _first(pay, CURRENCIES), "d_period": _first(pay, PERIODS),
             "u_scale": F.when(unit.contains("thousand"), 1e3).when(unit.contains("million"), 1e6).when(unit != "", 1.0), "u_currency": _first(unit, CURRENCIES), "u_period": _first(unit, PERIODS),
         }
-    ).drop("_mr_d", "_mr_pay", "_mr_unit")
+    ).drop("_mr_d", "_mr_paid", "_mr_united", "_mr_pay", "_mr_unit")
 
 
 def _code(value: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.when(value == n, F.lit(float(k + 1))) for k, n in enumerate(names)], F.lit(0.0))
 
 
-FEATURES = ["f_low", "f_ratio", "f_interval", "f_currency", "f_structured", "f_unit_period", "f_unit_scale", "f_said_period", "f_said_ratio", "f_source", "f_category"]
+FEATURES = ["f_low", "f_ratio", "f_interval", "f_currency", "f_structured", "f_unit_period", "f_unit_scale", "f_said_period", "f_said_ratio", "f_said_annual", "f_stored", "f_source", "f_category"]
 PERIOD_NAMES = [p for p, _ in PERIODS]
 CURRENCY_NAMES = [c for c, _ in CURRENCIES]
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Adds the forest's features; needs low, high, interval, stated_currency, structured_low, source, category and what the description says."""
+def _known(value: Column, units: dict[str, float]) -> Column:
+    return F.coalesce(*[F.when(value == name, F.lit(float(x))) for name, x in units.items()], F.lit(None).cast("double"))
+
+
+def features(rows: DataFrame, currencies: dict[str, float], periods: dict[str, float]) -> DataFrame:
+    """Adds the forest's features; needs low, high, their suffixes, interval, stated_currency, structured_low, source, category, stored and what the description says."""
     log = lambda c: F.when(c > 0, F.log10(c)).otherwise(-1.0)
     ratio = lambda a, b: F.coalesce(F.when((a > 0) & (b > 0), F.round(F.log10(a / b), 1)), F.lit(-9.0))
+    low = F.col("low") * F.coalesce("low_scale", F.lit(1.0))
+    said = F.col("d_low") * F.col("d_scale")
     return rows.withColumns(
         {
-            "f_low": F.coalesce(log(F.col("low")), F.lit(-1.0)), "f_ratio": ratio(F.col("high"), F.col("low")), "f_interval": _code(F.col("interval"), PERIOD_NAMES), "f_currency": _code(F.col("stated_currency"), CURRENCY_NAMES),
-            "f_structured": ratio(F.col("structured_low"), F.col("low")), "f_unit_period": _code(F.col("u_period"), PERIOD_NAMES), "f_unit_scale": F.coalesce(F.log10("u_scale"), F.lit(-1.0)), "f_said_period": _code(F.col("d_period"), PERIOD_NAMES),
-            "f_said_ratio": ratio(F.col("d_low") * F.col("d_scale"), F.col("low")), "f_source": _code(F.col("source"), ["linkedin", "indeed", "google"]), "f_category": F.pmod(F.xxhash64(F.coalesce("category", F.lit(""))), F.lit(16)).cast("double"),
+            "f_low": F.coalesce(log(low), F.lit(-1.0)), "f_ratio": ratio(F.col("high") * F.coalesce("high_scale", F.lit(1.0)), low), "f_interval": _code(F.col("interval"), PERIOD_NAMES), "f_currency": _code(F.col("stated_currency"), CURRENCY_NAMES),
+            "f_structured": ratio(F.col("structured_low"), low), "f_unit_period": _code(F.col("u_period"), PERIOD_NAMES), "f_unit_scale": F.coalesce(F.log10("u_scale"), F.lit(-1.0)), "f_said_period": _code(F.col("d_period"), PERIOD_NAMES),
+            "f_said_ratio": ratio(said, low), "f_said_annual": ratio(said * _known(F.coalesce("d_currency", F.lit("CAD")), currencies) * _known(F.coalesce("d_period", F.lit("year")), periods), low),
+            "f_stored": F.col("stored").cast("double"), "f_source": _code(F.col("source"), ["linkedin", "indeed", "google"]), "f_category": F.pmod(F.xxhash64(F.coalesce("category", F.lit(""))), F.lit(16)).cast("double"),
         }
     )
 
@@ -167,10 +184,6 @@ def train(labelled: DataFrame, key: str) -> UnitModel | None:
     return UnitModel(fitted, assembler, steps)
 
 
-def _factor(units: dict[str, float], value: Column) -> Column:
-    return F.coalesce(*[F.when(value == name, F.lit(float(x))) for name, x in units.items()], F.lit(None).cast("double"))
-
-
 def unit_tables(pay_units: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Factors of currencies and periods; a list of more than a thousand units is refused."""
     rows = pay_units.limit(1_001).collect()
@@ -181,81 +194,104 @@ def unit_tables(pay_units: DataFrame) -> tuple[dict[str, float], dict[str, float
 
 
 def prepare_postings(postings: DataFrame) -> DataFrame:
-    """Raw postings with a pay figure, one row an id, with all that is stated about their unit."""
+    """Raw postings with a pay figure, with all that is stated about their unit; s_period and s_scale are what the order of stated sources says, null where nothing is stated."""
     needed = postings.select("id", "salary_raw", "salary_currency", "salary_interval", "salary_min_raw", "source", "expected_specialty", "description").where(F.col("id").isNotNull() & F.col("salary_raw").rlike(r"\d"))
-    rows = read_pay(needed, "salary_raw")
+    rows = read_pay(needed, "salary_raw").where("low IS NOT NULL")
     interval = F.coalesce(*[F.when(F.lower("salary_interval") == k, F.lit(v)) for k, v in INTERVALS.items()])
-    return read_description(rows, "description").select("*", interval.alias("interval"), F.upper("salary_currency").alias("stated_currency"), F.col("salary_min_raw").alias("structured_low"), F.col("expected_specialty").alias("category"))
+    rows = read_description(rows, "description").select("*", interval.alias("interval"), F.upper("salary_currency").alias("stated_currency"), F.col("salary_min_raw").alias("structured_low"), F.col("expected_specialty").alias("category"), F.lit(0).alias("stored"))
+    near = lambda x, y: F.abs(x / y - 1) < 0.02
+    structured_scale = F.when((F.col("structured_low") > 0) & near(F.col("structured_low"), F.col("low") * 1000), 1e3).when((F.col("structured_low") > 0) & near(F.col("structured_low"), F.col("low")), 1.0).when((F.col("structured_low") > 0) & near(F.col("structured_low"), F.col("low") * 1e6), 1e6)
+    said_scale = F.when(near(F.col("d_low") * F.col("d_scale"), F.col("low") * 1000), 1e3).when(near(F.col("d_low") * F.col("d_scale"), F.col("low")), 1.0)
+    said = F.coalesce("u_period", "d_period")
+    scale = F.when(F.col("interval").isNotNull(), F.coalesce(structured_scale, F.lit(1.0))).when(said.isNotNull(), F.coalesce(F.when(F.col("u_scale") > 1, F.when(F.col("low") < 1000, F.col("u_scale"))), said_scale, F.lit(1.0)))
+    # a figure with a suffix has its scale already
+    suffix = F.col("low_scale").isNotNull() | F.col("high_scale").isNotNull()
+    return rows.withColumns({"s_period": F.coalesce("interval", said), "s_scale": F.when(suffix, 1.0).otherwise(scale)})
 
 
-def prepare_jobs(jobs: DataFrame) -> DataFrame:
-    """Jobs rows with pay, with what their description says; 0 and 9999999 are placeholders."""
+def prepare_jobs(jobs: DataFrame, currencies: dict[str, float], periods: dict[str, float]) -> DataFrame:
+    """Jobs rows with pay; 0 and 9999999 are placeholders. s_period and s_scale are the unit that the description settles, ``done`` for an amount that isn't its bare figure."""
     filled = jobs.select("job_id", "salary_min_cad", "salary_max_cad", "source", "seniority", "description").where(F.col("job_id").isNotNull() & F.col("salary_min_cad").isNotNull() & ~F.col("salary_min_cad").isin(0, 9999999))
     high = F.when(F.col("salary_max_cad").isin(0, 9999999) | (F.col("salary_max_cad") < F.col("salary_min_cad")), None).otherwise(F.col("salary_max_cad"))
-    none = F.lit(None).cast("string")
-    rows = filled.select("job_id", "source", "description", F.col("seniority").alias("category"), F.col("salary_min_cad").cast("double").alias("low"), F.coalesce(high, "salary_min_cad").cast("double").alias("high"), none.alias("interval"), none.alias("stated_currency"), F.lit(None).cast("double").alias("structured_low"))
-    return read_description(rows, "description")
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    rows = filled.select(
+        "job_id", "source", "description", F.col("seniority").alias("category"), F.col("salary_min_cad").cast("double").alias("low"), F.coalesce(high, "salary_min_cad").cast("double").alias("high"),
+        none.alias("interval"), none.alias("stated_currency"), number.alias("structured_low"), number.alias("low_scale"), number.alias("high_scale"), F.lit(1).alias("stored"),
+    )
+    rows = read_description(rows, "description")
+    same = lambda x: F.coalesce(F.abs(F.col("low") - x) < 1, F.lit(False))
+    said, said_period = F.col("d_low") * F.col("d_scale"), F.coalesce("d_period", "u_period", F.lit("year"))
+    thousands = same(said / 1000) & (F.coalesce("d_period", F.lit("year")) == "year")
+    bare = same(F.col("d_low")) | same(said) | thousands
+    # a figure without a sentence of its own, beside a sentence on units, is bare if only that unit makes it a year's pay
+    u_factor = _known(F.coalesce("u_currency", F.lit("CAD")), currencies) * _known(F.col("u_period"), periods) * F.coalesce("u_scale", F.lit(1.0))
+    small = F.coalesce(F.col("d_low").isNull() & F.col("u_period").isNotNull() & (F.col("low") < 15000) & (F.col("low") * u_factor >= 15000), F.lit(False))
+    scale = F.when(bare, F.when(same(said), 1.0).otherwise(F.when(thousands, 1000.0).otherwise(F.col("d_scale")))).when(small, F.coalesce("u_scale", F.lit(1.0))).otherwise(1.0)
+    return rows.withColumns({"s_period": F.when(bare, said_period).when(small, F.col("u_period")).otherwise("done"), "s_scale": scale})
+
+
+def _label(period: Column, scale: Column) -> Column:
+    return F.coalesce(*[F.when((period == p) & (scale == s), F.lit(float(k))) for k, (p, s) in enumerate(UNITS)])
 
 
-def labelled_postings(prepared: DataFrame) -> DataFrame:
-    """Postings whose own text states the unit, with its index in UNITS as label; their figures are taken without suffix."""
-    scale = F.coalesce("low_scale", F.lit(1.0))
-    period = F.coalesce("period", F.when(scale > 1, F.lit("year")))
-    label = F.coalesce(*[F.when((period == p) & (scale == s), F.lit(float(k))) for k, (p, s) in enumerate(UNITS)])
-    return features(prepared).withColumn("label", label).where("label IS NOT NULL AND low IS NOT NULL")
+def labelled_postings(featured: DataFrame) -> DataFrame:
+    """Postings whose unit is stated, in their own text or beside it, with its index in UNITS as ``label``."""
+    own = F.col("period").isNotNull()
+    return featured.withColumn("label", _label(F.coalesce("period", "s_period"), F.when(own, 1.0).otherwise(F.col("s_scale")))).where("label IS NOT NULL").select(F.col("id").alias("row_id"), "label", *FEATURES)
 
 
-def convert_postings(prepared: DataFrame, model: UnitModel | None, currencies: dict[str, float], periods: dict[str, float]) -> DataFrame:
+def labelled_jobs(featured: DataFrame) -> DataFrame:
+    """Stored amounts whose unit their description settles, with its index in UNITS as ``label``."""
+    return featured.withColumn("label", _label(F.col("s_period"), F.col("s_scale"))).where("label IS NOT NULL").select(F.col("job_id").alias("row_id"), "label", *FEATURES)
+
+
+def _predicted(rows: DataFrame, model: UnitModel | None) -> DataFrame:
+    """Adds predicted, confidence, and m_period and m_scale of the predicted unit; all null or 0 without a model."""
+    rows = model.predict(rows) if model else rows.withColumns({"predicted": F.lit(None).cast("int"), "confidence": F.lit(0.0)})
+    unit = lambda i: F.coalesce(*[F.when(F.col("predicted") == k, F.lit(u[i])) for k, u in enumerate(UNITS)])
+    return rows.withColumns({"m_period": unit(0), "m_scale": unit(1)})
+
+
+def convert_postings(featured: DataFrame, model: UnitModel | None, currencies: dict[str, float], periods: dict[str, float]) -> DataFrame:
     """(id, salary_min_cad, salary_max_cad, unit, route, confidence) of raw postings.
 
     route is stated where salary_raw names the period, confident where the
-    forest's unit is converted, review where it was uncertain or contradicted
-    and the order of the stated sources resolved it.
+    forest's unit is converted, review where it was uncertain and the order of
+    the stated sources settled it.
     """
-    rows = features(prepared)
-    rows = model.predict(rows) if model else rows.withColumns({"predicted": F.lit(None).cast("int"), "confidence": F.lit(0.0)})
-    near = lambda x, y: F.abs(x / y - 1) < 0.02
-    structured_scale = F.when((F.col("structured_low") > 0) & near(F.col("structured_low"), F.col("low") * 1000), 1e3).when((F.col("structured_low") > 0) & near(F.col("structured_low"), F.col("low")), 1.0).when((F.col("structured_low") > 0) & near(F.col("structured_low"), F.col("low") * 1e6), 1e6)
-    said_scale = F.when(near(F.col("d_low") * F.col("d_scale"), F.col("low") * 1000), 1e3).when(near(F.col("d_low") * F.col("d_scale"), F.col("low")), 1.0)
-    said = F.coalesce("u_period", "d_period")
-    stated_period = F.coalesce("interval", said)
-    stated_scale = F.when(F.col("interval").isNotNull(), F.coalesce(structured_scale, F.lit(1.0))).when(said.isNotNull(), F.coalesce(F.when(F.col("u_scale") > 1, F.when(F.col("low") < 1000, F.col("u_scale"))), said_scale, F.lit(1.0)))
-    unit_period = F.coalesce(*[F.when(F.col("predicted") == k, F.lit(p)) for k, (p, _) in enumerate(UNITS)])
-    unit_scale = F.coalesce(*[F.when(F.col("predicted") == k, F.lit(s)) for k, (_, s) in enumerate(UNITS)])
-    rows = rows.withColumns({"s_period": stated_period, "s_scale": stated_scale, "m_period": unit_period, "m_scale": unit_scale})
-    has_suffix = F.col("low_scale").isNotNull() | F.col("high_scale").isNotNull()
-    m_scale = F.when(has_suffix, F.lit(1.0)).otherwise(F.col("m_scale"))
-    s_scale = F.when(has_suffix, F.lit(1.0)).otherwise(F.coalesce("s_scale", F.lit(1.0)))
-    s_period = F.coalesce("s_period", F.lit("year"))
-    agrees = (F.col("m_period") == s_period) & (m_scale == s_scale)
-    route = F.when(F.col("period").isNotNull(), "stated").when((F.col("confidence") >= CONFIDENT) & agrees, "confident").otherwise("review")
-    period = F.when(F.col("period").isNotNull(), F.col("period")).when(route == "confident", F.col("m_period")).otherwise(s_period)
-    scale = F.when(route == "confident", m_scale).otherwise(s_scale)
+    rows = _predicted(featured, model)
+    sure = (F.col("confidence") >= CONFIDENT) & (F.col("predicted") != DONE)
+    route = F.when(F.col("period").isNotNull(), "stated").when(sure, "confident").otherwise("review")
+    period = F.when(route == "stated", F.col("period")).when(route == "confident", F.col("m_period")).otherwise(F.coalesce("s_period", F.lit("year")))
+    suffix = F.col("low_scale").isNotNull() | F.col("high_scale").isNotNull()
+    scale = F.when(suffix | (route == "stated"), 1.0).when(route == "confident", F.col("m_scale")).otherwise(F.coalesce("s_scale", F.lit(1.0)))
     currency = F.coalesce("currency", "stated_currency", "u_currency", "d_currency", F.lit("CAD"))
-    factor = _factor(currencies, currency) * _factor(periods, period)
+    factor = _known(currency, currencies) * _known(period, periods)
     low = F.col("low") * F.coalesce("low_scale", F.lit(1.0)) * scale * factor
     high = F.col("high") * F.coalesce("high_scale", F.lit(1.0)) * scale * factor
-    return rows.where("low IS NOT NULL").select("id", F.rint(F.least(low, high)).cast("long").alias("salary_min_cad"), F.rint(F.greatest(low, high)).cast("long").alias("salary_max_cad"), F.concat_ws(" ", currency, period, scale.cast("int").cast("string")).alias("unit"), route.alias("route"), "confidence")
+    return rows.select("id", F.rint(F.least(low, high)).cast("long").alias("salary_min_cad"), F.rint(F.greatest(low, high)).cast("long").alias("salary_max_cad"), F.concat_ws(" ", currency, period, scale.cast("int").cast("string")).alias("unit"), route.alias("route"), "confidence")
 
 
-def convert_jobs(prepared: DataFrame, model: UnitModel | None, currencies: dict[str, float], periods: dict[str, float]) -> DataFrame:
-    """(job_id, salary_min_cad, salary_max_cad, unit, route, confidence) of jobs: a bare figure of the description is converted by it, any other amount stands."""
-    rows = features(prepared)
-    rows = model.predict(rows) if model else rows.withColumns({"predicted": F.lit(None).cast("int"), "confidence": F.lit(0.0)})
-    money = F.coalesce("d_currency", "u_currency", F.lit("CAD"))
-    factor = _factor(currencies, money) * _factor(periods, F.coalesce("d_period", "u_period", F.lit("year")))
-    rows = rows.withColumns({"_mr_full": F.col("d_low") * F.col("d_scale"), "_mr_top": F.coalesce("d_high", "d_low") * F.col("d_scale"), "_mr_factor": factor})
-    same = lambda x: F.abs(F.col("low") - x) < 1
-    bare = F.coalesce(same(F.col("d_low")) | same(F.col("_mr_full")) | (same(F.col("_mr_full") / 1000) & (F.coalesce("d_period", F.lit("year")) == "year")), F.lit(False))
-    # figures without a sentence of their own, beside a sentence on units, are bare if only that unit makes them a year's pay
-    u_factor = _factor(currencies, F.coalesce("u_currency", F.lit("CAD"))) * _factor(periods, F.col("u_period")) * F.coalesce("u_scale", F.lit(1.0))
-    small = F.col("d_low").isNull() & F.col("u_period").isNotNull() & (F.col("low") < 15000) & (F.col("low") * u_factor >= 15000)
-    unit_period = F.coalesce(*[F.when(F.col("predicted") == k, F.lit(p)) for k, (p, _) in enumerate(UNITS)])
-    stated = F.when(bare, F.col("d_period")).when(F.coalesce(small, F.lit(False)), F.col("u_period")).otherwise(F.lit("year"))
-    route = F.when((F.col("confidence") >= CONFIDENT) & (unit_period == stated), "confident").otherwise("review")
-    low = F.when(bare, F.col("_mr_full") * F.col("_mr_factor")).when(F.coalesce(small, F.lit(False)), F.col("low") * u_factor).otherwise(F.col("low"))
-    high = F.when(bare, F.col("_mr_top") * F.col("_mr_factor")).when(F.coalesce(small, F.lit(False)), F.col("high") * u_factor).otherwise(F.col("high"))
-    return rows.select("job_id", F.rint(F.least(low, high)).cast("long").alias("salary_min_cad"), F.rint(F.greatest(low, high)).cast("long").alias("salary_max_cad"), F.concat_ws(" ", F.when(bare, money).otherwise("CAD"), stated).alias("unit"), route.alias("route"), "confidence")
+def convert_jobs(featured: DataFrame, model: UnitModel | None, currencies: dict[str, float], periods: dict[str, float]) -> DataFrame:
+    """(job_id, salary_min_cad, salary_max_cad, unit, route, confidence) of jobs.
+
+    The forest says whether an amount already is Canadian dollars a year or a
+    bare figure of a unit; a bare figure is converted by that unit and taken
+    from the pay sentence where there is one. What it isn't sure of is reviewed
+    and settled by what the description settles.
+    """
+    rows = _predicted(featured, model)
+    route = F.when(F.col("confidence") >= CONFIDENT, "confident").otherwise("review")
+    period = F.when(route == "confident", F.col("m_period")).otherwise(F.coalesce("s_period", F.lit("done")))
+    scale = F.when(route == "confident", F.col("m_scale")).otherwise(F.coalesce("s_scale", F.lit(1.0)))
+    said = F.col("d_low").isNotNull()
+    currency = F.when(said, F.coalesce("d_currency", "u_currency", F.lit("CAD"))).otherwise(F.coalesce("u_currency", F.lit("CAD")))
+    factor = _known(currency, currencies) * _known(period, periods)
+    whole = period == "done"
+    low = F.when(whole, F.col("low")).otherwise(F.when(said, F.col("d_low") * F.col("d_scale")).otherwise(F.col("low") * scale) * factor)
+    high = F.when(whole, F.col("high")).otherwise(F.when(said, F.coalesce("d_high", "d_low") * F.col("d_scale")).otherwise(F.col("high") * scale) * factor)
+    unit = F.when(whole, "CAD year").otherwise(F.concat_ws(" ", currency, period))
+    return rows.select("job_id", F.rint(F.least(low, high)).cast("long").alias("salary_min_cad"), F.rint(F.greatest(low, high)).cast("long").alias("salary_max_cad"), unit.alias("unit"), route.alias("route"), "confidence")
 
 
 def annual_pay(postings: DataFrame, jobs: DataFrame, pay_units: DataFrame) -> DataFrame:
@@ -265,10 +301,12 @@ def annual_pay(postings: DataFrame, jobs: DataFrame, pay_units: DataFrame) -> Da
     ids give one row, that of the smallest amounts.
     """
     currencies, periods = unit_tables(pay_units)
-    ready = cut(prepare_postings(postings).drop("description"))  # read once for training and conversion
-    model = train(labelled_postings(ready), "id")
-    raw = convert_postings(ready, model, currencies, periods).withColumnRenamed("id", "rec_id").withColumn("rec_table", F.lit("raw_postings"))
-    stored = convert_jobs(prepare_jobs(jobs), model, currencies, periods).withColumnRenamed("job_id", "rec_id").withColumn("rec_table", F.lit("jobs"))
-    both = raw.unionByName(stored)
+    # both are read once for training and conversion
+    raw = cut(features(prepare_postings(postings).drop("description", "salary_raw"), currencies, periods))
+    stored = cut(features(prepare_jobs(jobs, currencies, periods).drop("description"), currencies, periods))
+    model = train(labelled_postings(raw).unionByName(labelled_jobs(stored)), "row_id")
+    both = convert_postings(raw, model, currencies, periods).withColumnRenamed("id", "rec_id").withColumn("rec_table", F.lit("raw_postings")).unionByName(
+        convert_jobs(stored, model, currencies, periods).withColumnRenamed("job_id", "rec_id").withColumn("rec_table", F.lit("jobs"))
+    )
     one = both.groupBy("rec_table", "rec_id").agg(F.min(F.struct("salary_min_cad", "salary_max_cad", "unit", "route", "confidence")).alias("x"))
     return one.select("rec_table", "rec_id", "x.*").where(F.col("salary_min_cad").isNotNull())

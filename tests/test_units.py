@@ -69,14 +69,39 @@ def test_empty_tables(spark):
     assert out.count() == 0
 
 
+HOURS = [(f"h{k}", f"${30 + k % 40}/hr", None, None, None, "google", None, "", 1) for k in range(300)]
+YEARS = [(f"y{k}", f"${60 + k % 40},000 a year", None, None, None, "google", None, "", 1) for k in range(300)]
+
+
 def test_forest_predicts_units_it_has_seen(spark):
-    rows = [(f"h{k}", f"${30 + k % 40}/hr", None, None, None, "google", None, "", 1) for k in range(300)] + [(f"y{k}", f"${60 + k % 40},000 a year", None, None, None, "google", None, "", 1) for k in range(300)]
-    ready = units.prepare_postings(spark.createDataFrame(rows, RAW))
-    model = units.train(units.labelled_postings(ready), "id")
+    ready = units.features(units.prepare_postings(spark.createDataFrame(HOURS + YEARS, RAW)), {"CAD": 1.0}, {"hour": 2080.0, "year": 1.0})
+    model = units.train(units.labelled_postings(ready), "row_id")
     told = model.predict(units.labelled_postings(ready)).selectExpr("avg(cast(predicted = label as int)) AS a", "min(confidence) AS c").first()
     assert told.a > 0.95 and told.c >= 0.9
 
 
+def test_the_forest_decides_where_it_is_sure(spark, monkeypatch):
+    bare = [("a", "37 - 45", None, None, None, "google", None, "", 1), ("b", "72,000", None, None, None, "google", None, "", 1), ("c", "37", None, "yearly", None, "google", None, "", 1)]
+    raw, jobs = spark.createDataFrame(HOURS + YEARS + bare, RAW), spark.createDataFrame([], JOB)
+    pay = spark.createDataFrame(PAY, "unit_code string, unit_kind string, factor double")
+    of = lambda: {r.rec_id: r for r in units.annual_pay(raw, jobs, pay).where("rec_id IN ('a', 'b', 'c')").collect()}
+    got = of()
+    # from the magnitude alone: an hourly and a yearly figure
+    assert (got["a"].salary_min_cad, got["a"].salary_max_cad, got["a"].route) == (76960, 93600, "confident")
+    assert (got["b"].salary_min_cad, got["b"].route) == (72000, "confident")
+    monkeypatch.setattr(units, "train", lambda *_: None)
+    off = of()
+    # without the forest all goes to review, and the order of stated sources says a year
+    assert (off["a"].salary_min_cad, off["a"].salary_max_cad, off["a"].route) == (37, 45, "review")
+    assert {r.route for r in off.values()} == {"review"}
+
+
+def test_a_unit_is_found_however_long_its_sentence(spark):
+    text = "All amounts are, " + "as we have said before, " * 40 + "in thousands, yearly, in US dollars."
+    got = units.read_description(spark.createDataFrame([(text,)], "d string"), "d").first()
+    assert (got.u_scale, got.u_currency, got.u_period) == (1000.0, "USD", "year")
+
+
 def test_pay_is_read_from_the_whole_text(spark):
     got = units.read_pay(spark.createDataFrame([("benefits and more, " * 80 + "CA$45 per hour",)], "t string"), "t").first()
     assert (got.low, got.currency, got.period) == (45.0, "CAD", "hour")
