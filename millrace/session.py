@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +48,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleared(path: str) -> None:
-    """Remove a local folder of a test."""
-    shutil.rmtree(Path(path), ignore_errors=True)
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
