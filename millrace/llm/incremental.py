@@ -1,13 +1,20 @@
 """Problem 6: new batches checked against everything accepted before.
 
-Every accepted posting leaves five hashes in a bucketed table: of its page
-(canonical url), of its whole normalised content (title and company), and of
-three paragraphs of it (the title with each third of the company; two edits
-leave a third whole, at most two letters from its place). A batch is joined to
-that table bucket by bucket on the hash; a shared page or whole content is a
-full copy, a shared paragraph is a near copy if the companies are at most two
-edits apart (one slip in names of three or four letters). Then the hashes of the accepted rows are appended. The postings
-themselves are read once, when the table is built.
+Every accepted posting leaves hashes in a table bucketed by them: of its page
+(canonical url), of its whole normalised content (title and company), of three
+paragraphs of it (the title with each third of the company; two edits leave a
+third whole, at most two letters from its place), and, for each title word that
+is too rare to be in the vocabulary, of the content without that word. The
+hash alone is the key of the join, so new rows meet the table bucket by bucket
+and the table itself is never moved; kind, company and word are compared after
+that. A shared page or whole content is a full copy, a shared paragraph is a
+near copy if the companies are at most two edits apart (one slip in names of
+three or four letters), content that shares all but a rare word is a near copy
+if that word is unknown to the history and a slip of the word held there. Then
+the hashes of the accepted rows are appended.
+
+A history has a name and outlives a call: postings are read once, when it is
+built, and later calls read its tables alone.
 """
 
 from __future__ import annotations
@@ -22,15 +29,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.reference_match import reach
 from millrace.llm.trie import Trie
-from millrace.session import cut, shared_folder
+from millrace.session import cut, forget, shared_folder
 
-#: A title word is part of the vocabulary if at least one row in this many holds it, which bounds the vocabulary.
-RARE_SHARE = 3_000
-MAX_TITLE_WORDS = 40
+#: A title word is in the vocabulary if at least one row in RARE_SHARE of those a history is built from holds it; of those the VOCABULARY most frequent ones. All other words are matched by the hashes without them.
+RARE_SHARE, VOCABULARY = 3_000, 100_000
 COMPANY_EDITS = 2
 #: Cores from this length on may be COMPANY_EDITS apart, shorter ones a slip (one edit or a swap of neighbours), those below three letters nothing.
 TWO_EDITS_FROM = 5
-PAGE, CONTENT, NEAR = 0, 1, 2
+PAGE, CONTENT, NEAR, RARE = 0, 1, 2, 3
 # Abbreviations of title words.
 ABBREVIATIONS = {
     "sr": "senior", "snr": "senior", "jr": "junior", "jnr": "junior", "princ": "principal", "prin": "principal", "eng": "engineer", "engr": "engineer", "dev": "developer",
@@ -59,16 +65,10 @@ def company_core(company: Column) -> Column:
     return F.when(core != "", core).otherwise(F.regexp_replace(F.lower(company), r"[^\p{L}\p{N}]+", ""))
 
 
-def title_words(*tables: DataFrame) -> dict[str, int]:
-    """The title words that are not rare over all rows, with their counts; at most RARE_SHARE * MAX_TITLE_WORDS of them."""
-    titles = reduce(DataFrame.unionByName, [t.select("title_normalized") for t in tables])
-    total = titles.count()
-    words = titles.select(F.explode(F.slice(F.array_distinct(F.split(F.lower("title_normalized"), r"\s+")), 1, 1_000)).alias("w"))
-    counted = words.where("w != ''").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, total / RARE_SHARE))
-    rows = counted.limit(RARE_SHARE * MAX_TITLE_WORDS + 1).collect()
-    if len(rows) > RARE_SHARE * MAX_TITLE_WORDS:
-        raise ValueError("titles of this length give no bounded vocabulary")
-    return {r.w: r.n for r in rows}
+def title_words(rows: DataFrame) -> DataFrame:
+    """(w, n): the words of ``title_normalized`` and how many rows hold them."""
+    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("title_normalized"), r"\s+"))).alias("w"))
+    return words.where("w != ''").groupBy("w").agg(F.count("*").alias("n"))
 
 
 class TitleReader:
@@ -108,29 +108,33 @@ class TitleReader:
                 return parts
         return (word,)
 
-    def key(self, title: str) -> str:
-        """The title's words, sorted; empty if nothing but remarks is left."""
-        words = [w for t in title.lower().split() for w in self.word(t)]
-        return " ".join(sorted(w for w in words if w not in REMARKS))
+    def key(self, title: str) -> tuple[str, list[str], list[str]]:
+        """The title's words, sorted (empty if nothing but remarks is left), its words that aren't in the vocabulary, and what is left without each of these."""
+        words = sorted(w for t in title.lower().split() for w in self.word(t) if w not in REMARKS)
+        rare = [k for k, w in enumerate(words) if w not in self.counts and len(w) > 3 and (k == 0 or words[k - 1] != w)]
+        return " ".join(words), [words[k] for k in rare], [" ".join(words[:k] + words[k + 1 :]) for k in rare]
 
 
 def read_keys(rows: DataFrame, keep: list[str], vocabulary: dict[str, int]) -> DataFrame:
-    """``keep`` and ``page``, ``title_key``, ``core`` of each row, null where there is none, and its stored and asked paragraph hashes ``parts`` and ``asks``."""
+    """``keep`` and ``page``, ``title_key``, ``core`` of each row, null where there is none, its stored and asked paragraph hashes ``parts`` and ``asks``, and ``rare`` (word, h): the hashes of its content without a rare word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = TitleReader(dict(vocabulary))
         for pdf in batches:
             codes, titles = pd.factorize(pdf["title_normalized"])
             keys = [reader.key(t) for t in titles]
-            pdf["title_normalized"] = [keys[c] if c >= 0 else None for c in codes]
+            for i, column in enumerate(("title_normalized", "_words", "_rests")):
+                pdf[column] = pd.Series([keys[c][i] if c >= 0 else None for c in codes], index=pdf.index, dtype=object)
             yield pdf
 
     staged = rows.select(*keep, canonical_page(F.col("url")).alias("page"), company_core(F.col("company_normalized")).alias("core"), "title_normalized")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in staged.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields) + ", _words array<string>, _rests array<string>"
     read = staged.mapInPandas(run, schema)
-    keyed = read.select(*keep, "page", F.when(F.col("title_normalized") != "", F.col("title_normalized")).alias("title_key"), F.when(F.col("core") != "", F.col("core")).alias("core"))
+    keyed = read.select(*keep, "page", F.when(F.col("title_normalized") != "", F.col("title_normalized")).alias("title_key"), F.when(F.col("core") != "", F.col("core")).alias("core"), "_words", "_rests")
     t, c = F.col("title_key"), F.col("core")
-    return keyed.select("*", stored_parts(t, c).alias("parts"), asked_parts(t, c).alias("asks"))
+    none = F.array().cast("array<struct<word: string, h: bigint>>")
+    rare = F.when(c.isNotNull() & (F.size("_words") > 0), F.zip_with("_words", "_rests", lambda w, r: F.struct(w.alias("word"), F.xxhash64(F.lit("rare"), r, c).alias("h"))))
+    return keyed.select(*keep, "page", "title_key", "core", stored_parts(t, c).alias("parts"), asked_parts(t, c).alias("asks"), F.coalesce(rare, none).alias("rare"))
 
 
 def _third(length: Column, i: int) -> tuple[Column, Column]:
@@ -182,72 +186,137 @@ def whole(title: str, core: str) -> Column:
 
 
 def hashes(page: str, title: str, core: str) -> Column:
-    """The array of (kind, h, core) a posting with its ``parts`` leaves; what is null leaves none."""
-    c = F.col(core)
-    none = F.lit(None).cast("string")
-    one = lambda kind, h, own: F.struct(F.lit(kind).alias("kind"), h.alias("h"), own.alias("core"))
-    full = [F.when(F.col(page).isNotNull(), one(PAGE, F.xxhash64(F.lit("page"), page), none)), F.when(whole(title, core).isNotNull(), one(CONTENT, whole(title, core), none))]
-    return F.concat(F.array_compact(F.array(*full)), F.transform("parts", lambda h: one(NEAR, h, c)))
+    """The array of (kind, h, core, word) a posting with its ``parts`` and ``rare`` leaves; what is null leaves none."""
+    c, none = F.col(core), F.lit(None).cast("string")
+    one = lambda kind, h, own, word: F.struct(F.lit(kind).alias("kind"), h.alias("h"), own.alias("core"), word.alias("word"))
+    full = [F.when(F.col(page).isNotNull(), one(PAGE, F.xxhash64(F.lit("page"), page), none, none)), F.when(whole(title, core).isNotNull(), one(CONTENT, whole(title, core), none, none))]
+    return F.concat(F.array_compact(F.array(*full)), F.transform("parts", lambda h: one(NEAR, h, c, none)), F.transform("rare", lambda x: one(RARE, x["h"], none, x["word"])))
+
+
+def slipped(a: Column, b: Column) -> Column:
+    """Are two words the same but for slips, by the reach of the shorter one (two edits at most)?"""
+    short = F.least(F.length(a), F.length(b))
+    return F.levenshtein(a, b, 2).between(1, F.when(short < 4, 0).when(short < 6, 1).otherwise(2))
 
 
 class History:
-    """The bucketed hash table of all accepted postings."""
+    """The hashes and title words of all accepted postings, below the shared folder.
+
+    A name that is known opens the history of that name, in this session or a
+    later one. ``buckets`` is fixed when it is made; a bucket should be what a
+    task can sort.
+    """
+
+    COLUMNS = "h BIGINT, kind INT, core STRING, word STRING, rank STRING, job_id STRING"
 
-    def __init__(self, spark: SparkSession, buckets: int = 24):
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 24):
         self.spark, self.buckets = spark, buckets
-        self.name = f"accepted_{uuid.uuid4().hex}"
+        self.name = name or f"accepted_{uuid.uuid4().hex}"
         self.path = f"{shared_folder(spark)}/{self.name}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.COLUMNS}) USING parquet CLUSTERED BY (h) INTO {buckets} BUCKETS LOCATION '{self.path}/hashes'")
+
+    def build(self, jobs: DataFrame) -> History:
+        """Fill an empty history with accepted postings (job_id, url, title_normalized, company_normalized, duplicate_of, fetched_at)."""
+        words = cut(title_words(jobs))
+        words.write.mode("overwrite").parquet(f"{self.path}/words")
+        least = max(3, jobs.count() / RARE_SHARE)
+        words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(VOCABULARY).write.mode("overwrite").parquet(f"{self.path}/vocabulary")
+        # the posting that stands for equal ones: one that is no known duplicate, then the first fetched, then the smaller id
+        rank = F.concat_ws("|", F.when(F.col("duplicate_of").isNull(), "0").otherwise("1"), F.date_format("fetched_at", "yyyyMMddHHmmss"), F.col("job_id"))
+        self.append(read_keys(jobs.withColumn("rank", rank).where(F.col("job_id").isNotNull()), ["job_id", "rank"], self.vocabulary()))
+        return self
+
+    def vocabulary(self) -> dict[str, int]:
+        """The frequent title words, VOCABULARY at most."""
+        return {r.w: r.n for r in self.spark.read.schema("w string, n long").parquet(f"{self.path}/vocabulary").collect()}
+
+    def words(self) -> DataFrame:
+        """(w, n) of all accepted titles; a word may stand in several rows."""
+        return self.spark.read.schema("w string, n long").parquet(f"{self.path}/words")
 
     def append(self, postings: DataFrame) -> None:
-        """Add postings (job_id, rank, page, title_key, core, parts): of equal hashes the lowest rank owns."""
+        """Add postings (job_id, rank, page, title_key, core, parts, rare): of equal hashes the lowest rank owns."""
         rows = postings.select("job_id", "rank", F.explode(hashes("page", "title_key", "core")).alias("x")).select("job_id", "rank", "x.*")
-        owned = rows.groupBy("h", "kind", "core").agg(F.min(F.struct("rank", "job_id")).alias("owner"))
-        flat = owned.select("h", "kind", "core", F.col("owner.rank").alias("rank"), F.col("owner.job_id").alias("job_id"))
-        flat.repartition(self.buckets, "h").write.mode("append").format("parquet").bucketBy(self.buckets, "h").option("path", self.path).saveAsTable(self.name)
+        owned = rows.groupBy("h", "kind", "core", "word").agg(F.min(F.struct("rank", "job_id")).alias("owner"))
+        flat = owned.select("h", "kind", "core", "word", F.col("owner.rank").alias("rank"), F.col("owner.job_id").alias("job_id"))
+        flat.repartition(self.buckets, "h").write.insertInto(self.name)
+
+    def accept(self, keyed: DataFrame, titles: DataFrame) -> None:
+        """Add accepted arrivals (as of read_keys, with arrival_id) and the words of their titles (title_normalized)."""
+        self.append(keyed.withColumn("rank", F.concat_ws("|", F.lit("2"), F.lpad(F.col("arrival_id").cast("string"), 20, "0"))))
+        title_words(titles).write.mode("append").parquet(f"{self.path}/words")
 
     def table(self) -> DataFrame:
         """The hash table."""
         return self.spark.table(self.name)
 
     def drop(self) -> None:
-        """Forget the table (its files stay in the shared folder)."""
+        """Forget the history and remove its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        forget(self.spark, self.path)
 
-    def matches(self, batch: DataFrame) -> DataFrame:
-        """(arrival_id, job_id) of the batch rows that repeat an accepted posting: a page first, then whole content, then near content."""
+    def met(self, batch: DataFrame) -> DataFrame:
+        """(kind, asked, h, core, word, core2, word2, rank, job_id): the hashes of ``batch`` that the table holds, joined on the hash alone so that its buckets stay where they are."""
         one = lambda kind, h: F.when(h.isNotNull(), F.struct(F.lit(kind).alias("kind"), h.alias("asked")))
         page = F.when(F.col("page").isNotNull(), F.xxhash64(F.lit("page"), "page"))
-        content = whole("title_key", "core")
-        asked = batch.select("arrival_id", F.explode(F.array_compact(F.array(one(PAGE, page), one(CONTENT, content), one(NEAR, content)))).alias("x")).select("arrival_id", "x.*")
+        content, none = whole("title_key", "core"), F.lit(None).cast("string")
         # each hash meets the table once, however many rows of the batch share it; the way back to the rows is a join that can be split
-        once = asked.where(F.col("kind") != NEAR).dropDuplicates().select("kind", "asked", F.col("asked").alias("h"), F.lit(None).cast("string").alias("core"))
-        names = batch.where(content.isNotNull()).select(content.alias("asked"), "core", "asks").dropDuplicates(["asked"])
-        parts = names.select(F.lit(NEAR).alias("kind"), "asked", F.explode("asks").alias("h"), "core")
-        held = self.table().select(F.col("h").alias("h2"), F.col("kind").alias("kind2"), F.col("core").alias("core2"), F.col("rank"), F.col("job_id"))
-        on = (F.col("h") == F.col("h2")) & (F.col("kind") == F.col("kind2"))
-        met = once.union(parts).join(held, on).where((F.col("kind") != NEAR) | near_cores(F.col("core"), F.col("core2")))
-        edits = F.when(F.col("kind") == NEAR, F.levenshtein("core", "core2")).otherwise(0)
-        told = met.groupBy("kind", "asked").agg(F.min(F.struct(edits.alias("edits"), "rank", "job_id")).alias("m"))
-        back = asked.join(told, ["kind", "asked"])
-        return back.groupBy("arrival_id").agg(F.min(F.struct("kind", "m")).alias("m")).select("arrival_id", "m.m.job_id")
+        once = batch.select(F.explode(F.array_compact(F.array(one(PAGE, page), one(CONTENT, content)))).alias("x")).select("x.*").dropDuplicates().select("kind", "asked", F.col("asked").alias("h"), none.alias("core"), none.alias("word"))
+        names = batch.where(content.isNotNull()).select(content.alias("asked"), "core", "asks", "rare").dropDuplicates(["asked"])
+        parts = names.select(F.lit(NEAR).alias("kind"), "asked", F.explode("asks").alias("h"), "core", none.alias("word"))
+        rare = names.select("asked", F.explode("rare").alias("x")).select(F.lit(RARE).alias("kind"), "asked", F.col("x.h").alias("h"), none.alias("core"), F.col("x.word").alias("word"))
+        held = self.table().select("h", F.col("kind").alias("kind2"), F.col("core").alias("core2"), F.col("word").alias("word2"), "rank", "job_id")
+        # written so, kind does not become a second key of the join, beside which the buckets would be of no use
+        return once.union(parts).union(rare).join(held, "h").where("kind - kind2 = 0").drop("kind2")
+
+    def matches(self, batch: DataFrame) -> DataFrame:
+        """(arrival_id, job_id, coverage) of the batch rows that repeat an accepted posting: a page first, then whole content, then near content.
+
+        coverage is the share of the three paragraphs that both hold, 1 for full copies.
+        """
+        near = F.when(F.col("kind") == NEAR, near_cores(F.col("core"), F.col("core2"))).when(F.col("kind") == RARE, slipped(F.col("word"), F.col("word2"))).otherwise(True)
+        met = cut(self.met(batch).where(near))
+        # a word that the history knows is no slip
+        known = self.words().select(F.col("w").alias("word")).join(met.where(F.col("kind") == RARE).select("word").dropDuplicates(), "word", "left_semi").dropDuplicates()
+        met = met.join(known.withColumn("_known", F.lit(True)), "word", "left").where("_known IS NULL OR word IS NULL")
+        edits = F.when(F.col("kind") == NEAR, F.levenshtein("core", "core2")).when(F.col("kind") == RARE, F.levenshtein("word", "word2")).otherwise(0)
+        each = met.groupBy("kind", "asked", "core2", "word2").agg(F.min(edits).alias("edits"), F.when(F.col("kind") == NEAR, F.count_distinct("h") / 3).otherwise(F.lit(1.0)).alias("coverage"), F.min(F.struct("rank", "job_id")).alias("owner"))
+        told = each.groupBy("kind", "asked").agg(F.min(F.struct("edits", (-F.col("coverage")).alias("less"), "owner")).alias("m"))
+        # the lowest kind, then the fewest edits
+        best = lambda kinds, key: told.where(F.col("kind").isin(*kinds)).groupBy(F.col("asked").alias(key)).agg(F.min(F.struct("kind", "m")).alias(f"_{key}"))
+        rows = batch.select("arrival_id", F.xxhash64(F.lit("page"), "page").alias("pk"), whole("title_key", "core").alias("ck")).join(best((PAGE,), "pk"), "pk", "left").join(best((CONTENT, NEAR, RARE), "ck"), "ck", "left")
+        found = F.coalesce("_pk", "_ck")
+        return rows.where(found.isNotNull()).select("arrival_id", found["m"]["owner"]["job_id"].alias("job_id"), F.negate(found["m"]["less"]).alias("coverage"))
 
 
 def same_core(rows: DataFrame) -> DataFrame:
     """``rows`` with ``content``: one hash for rows of one title whose companies are near each other.
 
-    Companies of a title are compared once each, over the same paragraph
-    hashes; each takes the name of the most frequent company near it.
+    Contents are compared once each, over the same paragraph hashes, in the
+    order of their first arrival: one that is near an earlier one that stands
+    for itself takes its hash, any other stands for itself. A content is
+    decided as soon as all earlier ones near it are, all such at once, so only
+    chains of near names take further rounds.
     """
     rows = rows.withColumn("_whole", whole("title_key", "core"))
-    names = rows.where(F.col("_whole").isNotNull()).groupBy("_whole").agg(F.count("*").alias("n"), *[F.any_value(k).alias(k) for k in ("core", "parts", "asks")])
-    asked = names.select("_whole", "core", F.explode("asks").alias("part"))
-    other = names.select(F.explode("parts").alias("part"), F.col("_whole").alias("whole2"), F.col("core").alias("core2"), F.col("n").alias("n2"))
-    near = asked.join(other, "part").where(near_cores(F.col("core"), F.col("core2"))).select("_whole", "n2", "core2", "whole2")
-    near = near.union(names.select("_whole", "n", "core", "_whole"))  # a core below three letters has no parts
-    chosen = near.groupBy("_whole").agg(F.max(F.struct("n2", "core2", "whole2")).alias("m")).select("_whole", F.col("m.whole2").alias("named"))
-    again = chosen.select(F.col("_whole").alias("named"), F.col("named").alias("content"))
-    settled = chosen.join(again, "named").select("_whole", "content")
-    return rows.join(settled, "_whole", "left").drop("_whole")
+    names = rows.where(F.col("_whole").isNotNull()).groupBy("_whole").agg(F.min("arrival_id").alias("since"), *[F.any_value(k).alias(k) for k in ("core", "parts", "asks")])
+    asked = names.select(F.col("_whole").alias("a"), "since", "core", F.explode("asks").alias("part"))
+    other = names.select(F.explode("parts").alias("part"), F.col("_whole").alias("b"), F.col("since").alias("since2"), F.col("core").alias("core2"))
+    edges = cut(asked.join(other, "part").where((F.col("since2") < F.col("since")) & near_cores(F.col("core"), F.col("core2"))).select("a", "b", "since2").dropDuplicates())
+    left = cut(edges.select("a").dropDuplicates())
+    repeats: DataFrame | None = None
+    while left.limit(1).count():
+        waiting = edges.join(left.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        ready = cut(left.join(waiting, "a", "left_anti"))
+        standing = edges.join(ready, "a", "left_semi")
+        if repeats is not None:
+            standing = standing.join(repeats.select(F.col("a").alias("b")), "b", "left_anti")
+        told = standing.groupBy("a").agg(F.min(F.struct("since2", "b")).alias("m")).select("a", F.col("m.b").alias("content"))
+        repeats = cut(told if repeats is None else repeats.unionByName(told))
+        left = cut(left.join(ready, "a", "left_anti"))
+    if repeats is None:
+        return rows.withColumnRenamed("_whole", "content")
+    return rows.join(repeats.withColumnRenamed("a", "_whole"), "_whole", "left").withColumn("content", F.coalesce("content", "_whole")).drop("_whole")
 
 
 def settle(fresh: DataFrame) -> DataFrame:
@@ -280,34 +349,38 @@ def settle(fresh: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, done)
 
 
+def check(history: History, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arrival_id, job_id) of the rows that repeat an accepted posting, and the rows to be accepted, with their keys.
+
+    Rows come in order of arrival_id, along which batches never fall, so any
+    number of batches is one pass: first against the history, then what is left
+    among itself.
+    """
+    arrived = cut(read_keys(incoming.where(F.col("arrival_id").isNotNull()).dropDuplicates(["arrival_id"]), ["arrival_id", "job_id"], history.vocabulary()))
+    known = cut(history.matches(arrived).select("arrival_id", "job_id"))
+    fresh = arrived.join(known.select("arrival_id"), "arrival_id", "left_anti")
+    settled = cut(settle(fresh))
+    repeats = known.unionByName(settled.where("owner IS NOT NULL").select("arrival_id", F.col("owner").alias("job_id")))
+    return repeats, fresh.join(settled.where("owner IS NULL").select("arrival_id"), "arrival_id", "left_semi")
+
+
+def check_and_append(history: History, incoming: DataFrame) -> DataFrame:
+    """(arrival_id, job_id) of the rows that repeat an accepted posting; the hashes of all others are added to the history."""
+    repeats, accepted = check(history, incoming)
+    accepted = cut(accepted)
+    history.accept(accepted, incoming.join(accepted.select("arrival_id").dropDuplicates(), "arrival_id", "left_semi").dropDuplicates(["arrival_id"]))
+    return repeats
+
+
 def check_batches(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
     """(arrival_id, job_id) for each incoming row that repeats an accepted posting, with that posting's job_id.
 
-    All of ``jobs`` counts as accepted; batches come in order of batch_no, rows
-    in order of arrival_id. Null or blank urls, titles and companies match
-    nothing. Rows that repeat an arrival_id count once. An empty batch or
-    history gives no rows.
+    All of ``jobs`` counts as accepted. Null or blank urls, titles and companies
+    match nothing. Rows that repeat an arrival_id count once. An empty batch or
+    history gives no rows. The history made for this call is removed after it;
+    ``History.build`` and ``check_and_append`` keep one.
     """
-    spark = jobs.sparkSession
-    words = title_words(jobs, incoming)
-    # the posting that stands for equal ones: one that is no known duplicate, then the first fetched, then the smaller id
-    rank = F.concat_ws("|", F.when(F.col("duplicate_of").isNull(), "0").otherwise("1"), F.date_format("fetched_at", "yyyyMMddHHmmss"), F.col("job_id"))
-    history = History(spark)
-    history.append(read_keys(jobs.withColumn("rank", rank).where(F.col("job_id").isNotNull()), ["job_id", "rank"], words))
-    arrived = cut(read_keys(incoming.where(F.col("arrival_id").isNotNull()).dropDuplicates(["arrival_id"]), ["arrival_id", "batch_no", "job_id"], words))
-    answers: list[DataFrame] = []
-    numbers = [r.batch_no for r in arrived.groupBy("batch_no").agg(F.min("arrival_id").alias("a")).orderBy("a").collect()]
-    for k, number in enumerate(numbers):
-        batch = arrived.where(F.col("batch_no").eqNullSafe(number))
-        known = cut(history.matches(batch))
-        fresh = batch.join(known.select("arrival_id"), "arrival_id", "left_anti")
-        settled = cut(settle(fresh))
-        answers += [known, settled.where("owner IS NOT NULL").select("arrival_id", F.col("owner").alias("job_id"))]
-        if k + 1 < len(numbers):
-            accepted = fresh.join(settled.where("owner IS NULL").select("arrival_id"), "arrival_id", "left_semi")
-            history.append(accepted.withColumn("rank", F.concat_ws("|", F.lit("2"), F.lpad(F.col("arrival_id").cast("string"), 20, "0"))))
-    if not answers:
-        return arrived.select("arrival_id", "job_id").limit(0)
-    found = reduce(DataFrame.unionByName, answers)
+    history = History(jobs.sparkSession).build(jobs)
+    found = cut(check_and_append(history, incoming))
     history.drop()
     return found

@@ -91,3 +91,41 @@ def test_parts_meet_whatever_two_edits_do(spark):
     seen = spark.createDataFrame(rows, "t string, a string, b string").where("levenshtein(a, b) <= 2")
     missed = seen.where(~f.arrays_overlap(inc.asked_parts(f.col("t"), f.col("a")), inc.stored_parts(f.col("t"), f.col("b"))))
     assert seen.count() > 500 and missed.collect() == []
+
+
+def test_a_history_outlives_a_call_and_is_not_moved(spark):
+    name = f"kept_{random.randrange(1 << 40)}"
+    made = inc.History(spark, name, buckets=4).build(stored(spark))
+    first = [(1, 1, "n1", "https://x.example/1", "senior data scientist fraud amber falcon", "first company", "")]
+    assert inc.check_and_append(made, spark.createDataFrame(first, NEW)).collect() == []
+    spark.sql(f"DROP TABLE {name}")  # as in a later session, which knows no table but finds its files
+    again = inc.History(spark, name, buckets=4)
+    later = [(2, 2, "n2", "https://x.example/2", "sr data scientist amber falcon fraud", "frist company", ""), (3, 2, "n3", "https://www.site.example/jobs/view/1", "other", "x", "")]
+    assert {r.arrival_id: r.job_id for r in inc.check_and_append(again, spark.createDataFrame(later, NEW)).collect()} == {2: "n1", 3: "j1"}
+    # too large to be broadcast: the new rows are moved to the buckets, the table stays
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        batch = inc.read_keys(spark.createDataFrame(later, NEW), ["arrival_id", "job_id"], again.vocabulary())
+        plan = again.met(batch)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    lines = plan.split("\n")
+    scan = next(k for k, line in enumerate(lines) if f"{name}[" in line)
+    side = max(k for k in range(scan) if "Sort [h#" in lines[k])
+    assert "Bucketed: true" in lines[scan] and not any("Exchange" in line for line in lines[side:scan]), plan
+    again.drop()
+
+
+def test_a_slip_in_a_rare_word_and_a_very_long_title(spark):
+    rows = [
+        (1, 1, "n1", None, "senior data scientist zanzibar amber falcon", "ulmcelsko forestry", ""),
+        (2, 1, "n2", None, "senior data scientist zanzbard amber falcon", "first company", ""),
+    ]
+    more = spark.createDataFrame([("r1", None, "senior data scientist zanzibard amber falcon", "first company", None, T, "", 0), ("r2", None, "senior data scientist zanzibar amber falcon", "second company", None, T, "", 0), ("r3", None, " ".join(f"word{k}" for k in range(3_000)), "third company", None, T, "", 0)], JOBS)
+    rows += [(3, 1, "n3", None, " ".join(f"word{k}" for k in reversed(range(3_000))), "third company", ""), (4, 1, "n4", None, "senior data scientist tanzania amber falcon", "first company", ""), (5, 1, "n5", None, "senior data scientist zanzibar amber falcon", "first company", "")]
+    got = {r.arrival_id: r.job_id for r in inc.check_batches(stored(spark).unionByName(more), spark.createDataFrame(rows, NEW)).collect()}
+    # 5 is a word the history knows from another posting, so it isn't taken for a slip
+    assert got == {2: "r1", 3: "r3"}
