@@ -1,8 +1,9 @@
 """Problem 1: free-entered values to the entries of a canonical list.
 
 Each reference list becomes a trie of entries and alias paths; a typed value
-is cleaned of decoration and looked up with a Levenshtein automaton whose
-reach depends on the length of the reference path. Values that reach no entry,
+is cleaned of decoration and looked up with a Levenshtein automaton that
+returns every path within the reach of its length (abbreviations among the
+aliases have none). Values that reach no entry,
 or that name another place of the same name, come out with ``UNMATCHED``.
 """
 
@@ -50,6 +51,9 @@ PREFIXES = {"north": "n", "west": "w", "port": "p", "new": "n", "saint": "st", "
 MULTI = re.compile(r"[,;|/()\[\]:+]+| [-–—] |•")
 
 
+MOST_EDITS = 3
+
+
 def reach(length: int) -> int:
     """Edits allowed for a reference path of this length: none below 4 letters, then 1, from 6 letters 2, from 10 letters 3."""
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 10 else 3
@@ -88,18 +92,24 @@ class LocationMatcher:
                     self.country = ref_id
                 continue
             self.province_of[ref_id] = parts[1]
-            self.cities.add(squash(parts[0]), ref_id)
+            self._add(parts[0], ref_id)
             head, _, rest = parts[0].partition(" ")
             if rest and head in PREFIXES:
-                self.cities.add(squash(PREFIXES[head] + rest), ref_id)
+                self._add(PREFIXES[head] + rest, ref_id)
             if parts[0].endswith(" city"):
-                self.cities.add(squash(parts[0][:-5]), ref_id)
-                self.cities.add(squash("ville de " + parts[0][:-5]), ref_id)
-        self.short = self._short(rows)
+                self._add(parts[0][:-5], ref_id)
+                self._add("ville de " + parts[0][:-5], ref_id)
+        for form, ref_id in self._short(rows).items():
+            self.cities.add(form, (ref_id, 0, True))
         self.city = lru_cache(200_000)(self._city)
         self.province = lru_cache(200_000)(self._province)
         self.word = lru_cache(200_000)(self._word)
 
+    def _add(self, name: str, ref_id: int) -> None:
+        """A path of ``ref_id`` with the reach of its length."""
+        path = squash(name)
+        self.cities.add(path, (ref_id, reach(len(path)), False))
+
     def _short(self, rows: list[tuple[int, str]]) -> dict[str, int]:
         """Abbreviated and turned-round names that mean one entry only: ``New West``, ``Rich Hill``, ``Miss``, ``Vancouver North``."""
         meant: dict[str, set[int]] = {}
@@ -121,9 +131,13 @@ class LocationMatcher:
         return {form: refs.pop() for form, refs in meant.items() if len(refs) == 1 and form not in full and not self._province(form)}
 
     def _city(self, text: str) -> tuple[tuple[int, int], ...]:
-        if text in self.short:
-            return ((0, self.short[text]),)
-        return tuple((d, ref) for d, path, ref in self.cities.search(text, reach(len(text) + 1)) if d <= reach(len(path)))
+        """(distance, ref_id) of all paths that ``text`` is in reach of; a path may be longer than ``text`` by its own reach."""
+        hits = [(d, *payload) for d, _, payload in self.cities.search(text, reach(len(text) + MOST_EDITS)) if d <= payload[1]]
+        short = [(d, ref) for d, ref, _, abbreviation in hits if abbreviation]
+        return tuple(short or [(d, ref) for d, ref, _, _ in hits])
+
+    def _abbreviates(self, text: str) -> bool:
+        return any(d == 0 and payload[2] for d, _, payload in self.cities.search(text, 0))
 
     def _province(self, text: str) -> tuple[int, str] | None:
         got = [(d, p) for d, path, p in self.provinces.search(text, min(2, reach(len(text)))) if d <= min(2, reach(len(path)))]
@@ -169,7 +183,7 @@ class LocationMatcher:
             return self.country if country else UNMATCHED
         if len(places) > 1:
             names = [s for s in places if not self.province(squash("".join(s)))]
-            if len(names) > 1 and (joined := squash("".join(t for s in names for t in s))) in self.short:
+            if len(names) > 1 and self._abbreviates(joined := squash("".join(t for s in names for t in s))):
                 places = [s for s in places if s not in names] + [[joined]]
         given: set[str] = set()
         best: list[tuple[int, int, int, frozenset]] = []

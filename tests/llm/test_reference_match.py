@@ -72,3 +72,25 @@ def test_the_whole_value_is_matched(spark):
     sizes = spark.createDataFrame(SIZES, "ref_id int, size_label string, min_employees int, max_employees int")
     values = spark.createDataFrame([("late", "location", " " * 450 + "Vancouver, BC"), ("foreign", "location", "Vancouver" + " " * 450 + ", WA")], "k string, field_name string, value string")
     assert {r.k: r.ref_id for r in rm.map_values(values, ["k"], places, sizes).collect()} == {"late": 1, "foreign": -1}
+
+
+def test_every_path_is_found_as_far_as_it_reaches():
+    rng = random.Random(8)
+    matcher = rm.LocationMatcher([(k, f"{city}, British Columbia, Canada") for k, city in enumerate(("North Vancouver", "Port Coquitlam", "Surrey", "Hope", "Terrace", "New Westminster"))])
+    paths, stack = [], [matcher.cities.root]
+    while stack:
+        for letter, child in stack.pop().items():
+            if letter:
+                stack.append(child)
+            else:
+                paths += [(path, *payload) for path, payload in child]
+    assert ("nvancouver", 0, 3, False) in paths and ("newwest", 5, 0, True) in paths
+    for path, ref, far, abbreviation in paths:
+        for _ in range(20):
+            gone = set(rng.sample(range(len(path)), far))
+            query = "".join(c for k, c in enumerate(path) if k not in gone)
+            hits = {r for d, _, (r, most, _) in matcher.cities.search(query, rm.reach(len(query) + rm.MOST_EDITS)) if d <= most}
+            assert ref in hits, (path, query)
+            assert ref in {r for _, r in matcher._city(query)} or any(a for *_, a in [p[2:] for p in paths if p[0] == query]), (path, query)
+    # an abbreviation is only met as it stands
+    assert matcher._city("newwest") == ((0, 5),) and not any(r == 5 and d == 0 for d, r in matcher._city("newwset"))
