@@ -14,10 +14,13 @@ With ``k`` coordinates a set of total weight W needs ranks up to about
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Elements whose darts are drawn in one go; bounds the memory that takes.
+DRAWN_AT_ONCE = 2_000
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -36,7 +39,7 @@ class DartMinHash:
         self.k, self.seed, self.keep = k, seed, keep
         self.need = k * (math.log(k) + 2)
         self._darts: dict[tuple[int, int, float], tuple[np.ndarray, np.ndarray]] = {}
-        self._unit: dict[float, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        self._unit: dict[float, dict[int, np.ndarray]] = {}
         self._units = 0
 
     def level(self, total_weight: float) -> float:
@@ -73,41 +76,67 @@ class DartMinHash:
 
     def coordinates(self, packed: np.ndarray) -> np.ndarray:
         """The coordinate each dart is hashed to."""
-        return (((packed & np.uint64(0xFFFFFFFF)) * np.uint64(self.k)) >> np.uint64(32)).astype(np.uint32)
-
-    def unit(self, elements: list[int], level: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(packed, coordinate) of the darts of each element at weight 1, remembered."""
+        return ((packed & np.uint64(0xFFFFFFFF)) * np.uint64(self.k)) >> np.uint64(32)
+
+    def _unit_darts(self, elements: np.ndarray, level: float) -> list[np.ndarray]:
+        """The packed darts of many elements at weight 1, drawn together; the same as ``darts`` draws one by one."""
+        cells = max(1, math.ceil(self.need / 2.0**level))
+        base = mix(elements[:, None] + mix(np.arange(cells, dtype=np.uint64), 1), self.seed)
+        count = POISSON.searchsorted((mix(base, 2) >> np.uint64(11)).astype(np.float64) * 2.0**-53, side="right")
+        each = count.ravel()
+        nth = np.arange(each.sum(), dtype=np.uint64) - np.repeat(np.cumsum(each) - each, each).astype(np.uint64)
+        dart = mix(np.repeat(base.ravel(), each) + nth, 3)
+        cell = np.repeat(np.tile(np.arange(cells), len(elements)), each)
+        rank = (cell + (dart >> np.uint64(11)).astype(np.float64) * 2.0**-53) / self.need
+        packed = (np.minimum(rank * 2.0**31, 2.0**32 - 2).astype(np.uint64) << np.uint64(32)) | (mix(dart, 4) & np.uint64(0xFFFFFFFF))
+        return np.split(packed, np.cumsum(count.sum(axis=1))[:-1])
+
+    def learn(self, elements: Iterable[int], level: float) -> dict[int, np.ndarray]:
+        """The darts of elements at weight 1 up to a level, remembered; what is new is drawn at once."""
         held = self._unit.setdefault(level, {})
-        got = [held.get(e) for e in elements]
-        for i, pair in enumerate(got) if None in got else ():
-            if pair is None:
-                if self._units >= self.keep:
-                    self._unit, self._units = {level: (held := {})}, 0
-                packed = self.darts(elements[i], 1, level)[0]
-                self._darts.clear()  # kept here
-                got[i] = held[elements[i]] = packed, self.coordinates(packed)
-                self._units += 1
-        return got
+        new = list({e for e in elements if e not in held})
+        if self._units + len(new) > self.keep and self._units:
+            self._unit, self._units = {level: (held := {})}, 0
+            new = list(set(elements))
+        for at in range(0, len(new), DRAWN_AT_ONCE):
+            some = new[at : at + DRAWN_AT_ONCE]
+            held.update(zip(some, self._unit_darts(np.array(some, dtype=np.uint64), level)))
+        self._units += len(new)
+        return held
+
+    def signatures(self, sets: list[list[int]]) -> np.ndarray:
+        """(sets, k): the signatures of many sets of element hashes, each of weight 1."""
+        out = np.full((len(sets), self.k), EMPTY)
+        open_sets = [(n, self.level(float(len(s)))) for n, s in enumerate(sets) if s]
+        while open_sets:
+            by_level: dict[float, list[int]] = {}
+            for n, level in open_sets:
+                by_level.setdefault(level, []).append(n)
+            open_sets = []
+            for level, at in by_level.items():
+                held = self.learn([e for n in at for e in sets[n]], level)
+                for n in at:
+                    drawn = np.concatenate([held[e] for e in sets[n]])
+                    np.minimum.at(out[n], self.coordinates(drawn).view(np.int64), drawn)
+                    if (out[n] == EMPTY).any():
+                        open_sets.append((n, level - 1))
+        return out
 
     def signature(self, elements: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         """The k kept darts of a set of element hashes, by default of weight 1; EMPTY everywhere for an empty set."""
+        if weights is None:
+            return self.signatures([elements.tolist()])[0]
         kept = np.full(self.k, EMPTY)
         if len(elements) == 0:
             return kept
-        total = float(len(elements) if weights is None else weights.sum())
-        level = self.level(total)
+        level = self.level(float(weights.sum()))
         while True:
-            if weights is None:
-                packed, coordinate = zip(*self.unit(elements.tolist(), level))
-                drawn, coordinate = np.concatenate(packed), np.concatenate(coordinate)
-            else:
-                parts = []
-                for e, w in zip(elements.tolist(), weights.tolist()):
-                    packed, height = self.darts(e, max(1, math.ceil(w)), level)
-                    parts.append(packed[height < w])
-                drawn = np.concatenate(parts)
-                coordinate = self.coordinates(drawn)
-            np.minimum.at(kept, coordinate.astype(np.int64), drawn)
+            parts = []
+            for e, w in zip(elements.tolist(), weights.tolist()):
+                packed, height = self.darts(e, max(1, math.ceil(w)), level)
+                parts.append(packed[height < w])
+            drawn = np.concatenate(parts)
+            np.minimum.at(kept, self.coordinates(drawn).view(np.int64), drawn)
             if not (kept == EMPTY).any():
                 return kept
             level -= 1

@@ -6,11 +6,12 @@ candidates, which are thinned by a bound on their words that no similar pair
 fails and then verified exactly on their words. Nothing is compared all against
 all and nothing is collected.
 
-Layout for scale: one pass over the texts makes compact blobs of (band key,
-record key), grouped by hash into buckets whose number grows with the data, so
-a bucket is bounded. Records of equal word sets are folded inside each input
-partition before anything is shuffled, so a group of copies reaches a band key
-at most once a partition.
+Layout for scale: one pass over the texts makes compact blobs of (band key, word
+set), grouped by hash into buckets whose number grows with the data. A word set
+goes by its 64-bit digest, so all records that hold it are one member of a band
+wherever they lie: a task sends it once, and a bucket folds what several tasks
+sent before anything is paired. Copies are told by a small table of (word set,
+record) and never paired.
 """
 
 from __future__ import annotations
@@ -59,15 +60,25 @@ def sketch(ids: np.ndarray) -> np.ndarray:
 
 
 def _signed(buckets: int):
+    """Texts to blobs: band entries of word sets (kind 0), their sizes and sketches (kind 1), and (word set, record) of every record (kind 2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dart = DartMinHash(COORDINATES)
         hashes: dict[str, int] = {}
-        first: dict[bytes, int] = {}
+        known: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        copies: list[tuple[int, int]] = []
+        records: list[tuple[int, int]] = []
+        digests: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def hold() -> None:
+            if digests:
+                signatures = dart.signatures([s.tolist() for s in sets])
+                held.append((np.array(digests, dtype=np.int64), band_keys(signatures), np.array([len(s) for s in sets], dtype=np.int64), np.stack([sketch(s) for s in sets])))
+                digests.clear(), sets.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out_b, out_k, out_d = [], [], []
+            out: list[tuple[int, int, bytes]] = []
             if held:
                 keys = np.concatenate([k for k, *_ in held])
                 bands = np.concatenate([b for _, b, *_ in held])
@@ -78,31 +89,14 @@ def _signed(buckets: int):
                 flat["k"] = np.repeat(keys, BANDS)
                 flat, bucket = flat[order], bucket.ravel()[order]
                 starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                for s, e in zip(starts, [*starts[1:], len(bucket)]):
-                    out_b.append(int(bucket[s]))
-                    out_k.append(0)
-                    out_d.append(flat[s:e].tobytes())
-                out_b.append(int(mix(keys[:1].view(np.uint64), 3)[0] % np.uint64(buckets)))
-                out_k.append(1)
-                out_d.append(np.column_stack([keys, np.concatenate([n for *_, n, _ in held]), np.concatenate([s for *_, s in held])]).tobytes())
+                out += [(int(bucket[s]), 0, flat[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(bucket)])]
+                out.append((int(mix(keys[:1].view(np.uint64), 3)[0] % np.uint64(buckets)), 1, np.column_stack([keys, np.concatenate([n for *_, n, _ in held]), np.concatenate([s for *_, s in held])]).tobytes()))
                 held.clear()
-            if copies:
-                out_b.append(copies[0][0] % buckets)
-                out_k.append(2)
-                out_d.append(np.array(copies, dtype=np.int64).tobytes())
-                copies.clear()
-            if out_b:
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_k, pa.int32()), pa.array(out_d, pa.binary())], names=["bucket", "kind", "data"])
-
-        keys: list[int] = []
-        sigs: list[np.ndarray] = []
-        sizes: list[int] = []
-        sketched: list[np.ndarray] = []
-
-        def hold() -> None:
-            if keys:
-                held.append((np.array(keys, dtype=np.int64), band_keys(np.stack(sigs)), np.array(sizes, dtype=np.int64), np.stack(sketched)))
-                keys.clear(), sigs.clear(), sizes.clear(), sketched.clear()
+            if records:
+                out.append((records[0][1] % buckets, 2, np.array(records, dtype=np.int64).tobytes()))
+                records.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "data"])
 
         size = 0
         for batch in batches:
@@ -118,22 +112,19 @@ def _signed(buckets: int):
                     hashes.update(zip(words, ids))
                 ids = np.array(ids, dtype=np.uint64)
                 ids.sort()
-                digest = xxhash.xxh128_digest(ids.tobytes())
-                rep = first.get(digest)
-                if rep is not None:
-                    copies.append((rep, key))
+                digest = xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63)
+                records.append((digest, key))
+                if digest in known:
                     continue
-                if len(first) > 1_000_000:
-                    first.clear()
-                first[digest] = key
-                keys.append(key)
-                sigs.append(dart.signature(ids))
-                sizes.append(len(ids))
-                sketched.append(sketch(ids))
+                if len(known) > 1_000_000:
+                    known.clear()
+                known.add(digest)
+                digests.append(digest)
+                sets.append(ids)
                 size += BANDS
-                if len(keys) == SIGNED_AT_ONCE:
+                if len(digests) == SIGNED_AT_ONCE:
                     hold()
-            if size > BLOB_ENTRIES:
+            if size > BLOB_ENTRIES or len(records) > BLOB_ENTRIES:
                 hold()
                 yield from flush()
                 size = 0
@@ -150,7 +141,7 @@ def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: candidate pairs (kind 0), sketches (kind 1) and copies (kind 2)."""
+    """One bucket: candidate pairs of word sets (kind 0), sketches (kind 1) and records (kind 2)."""
     blobs = {0: [], 1: [], 2: []}
     for batch in batches:
         for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
@@ -162,7 +153,9 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not blobs[0]:
         return
     flat = np.frombuffer(b"".join(blobs[0]), dtype=ENTRY)
-    flat = flat[np.argsort(flat["h"], kind="stable")]
+    blobs.clear()
+    flat = flat[np.lexsort((flat["k"], flat["h"]))]
+    flat = flat[np.r_[True, (flat["h"][1:] != flat["h"][:-1]) | (flat["k"][1:] != flat["k"][:-1])]]  # what several tasks sent, once
     h, k = flat["h"], flat["k"]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     sizes = np.diff(np.r_[starts, len(h)])
@@ -189,8 +182,8 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(JVM_WORD), F.lit(0)), lambda w: F.xxhash64(w)))
 
 
-def _similar(records: DataFrame, key: str, texts: list[str], share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a, b, ia, ib) of similar representatives, (rep, id2) of records folded into one, and (rep, id2) of those representatives themselves."""
+def _similar(records: DataFrame, key: str, texts: list[str], share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of similar word sets, and (d, id) of the records of every word set that is similar to another or held by several records."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in texts])
     base = records.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("k"), F.col(key).alias("id"), text.alias("text"))
     buckets = max(48, -(-records.count() * BANDS // ENTRIES_A_BUCKET))
@@ -210,56 +203,53 @@ def _similar(records: DataFrame, key: str, texts: list[str], share: tuple[int, i
     else:
         near = pairs.repartition("a").dropDuplicates(["a", "b"]).join(first, "a").join(second, "b").where(may).select("a", "b")
     near = written(near, "near-candidates")
-    copies = found.where("kind = 2").select(F.col("a").alias("rep"), F.col("b").alias("k")).where("rep != k").dropDuplicates()
-
-    wanted = near.select(F.explode(F.array("a", "b")).alias("k")).union(copies.select(F.explode(F.array("rep", "k")).alias("k"))).dropDuplicates()
-    few = wanted.count() <= BROADCAST_KEYS
-    chosen = base.join(F.broadcast(wanted) if few else wanted, "k", "left_semi").dropDuplicates(["id"])
-    words = chosen.select("k", "id", words_of(F.col("text")).alias("w"))
-    left = words.select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("w").alias("wa"))
-    right = words.select(F.col("k").alias("b"), F.col("id").alias("ib"), F.col("w").alias("wb"))
-    both = near.join(left, "a").join(right, "b")
+
+    # of each word set one record stands for all; combined before the shuffle, so a set that a third of the records hold is a few rows
+    holds = found.where("kind = 2").select(F.col("a").alias("d"), F.col("b").alias("k"))
+    stands = cut(holds.groupBy("d").agg(F.min("k").alias("k"), (F.max("k") != F.min("k")).alias("copied")))
+    paired = near.select(F.explode(F.array("a", "b")).alias("d")).dropDuplicates()
+    wanted = stands.join(paired, "d", "left_semi").select("d", "k")
+    chosen = base.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "k").dropDuplicates(["d"])
+    words = chosen.select("d", words_of(F.col("text")).alias("w"))
+    both = near.join(words.select(F.col("d").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("d").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    similar = both.where(shared * (share[0] + share[1]) >= (F.size("wa") + F.size("wb")) * share[0]).select("a", "b", "ia", "ib")
+    similar = cut(both.where(shared * (share[0] + share[1]) >= (F.size("wa") + F.size("wb")) * share[0]).select("a", "b"))
 
-    # records folded into a representative have its words, so they share all its pairs
-    ids = chosen.select("k", "id")
-    member = copies.join(ids.withColumnRenamed("id", "id2"), "k").select("rep", "id2")
-    rep_ids = copies.select(F.col("rep").alias("k")).dropDuplicates().join(ids, "k").select(F.col("k").alias("rep"), F.col("id").alias("id2"))
-    return similar, member, rep_ids
+    linked = similar.select(F.explode(F.array("a", "b")).alias("d")).union(stands.where("copied").select("d")).dropDuplicates()
+    members = holds.join(linked, "d", "left_semi").dropDuplicates(["k"])
+    named = records.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("k"), F.col(key).alias("id"))
+    return similar, named.join(F.broadcast(members) if members.count() <= BROADCAST_KEYS else members, "k").select("d", "id").dropDuplicates(["id"])
 
 
 def similar_pairs(records: DataFrame, key: str, texts: list[str], share: tuple[int, int] = (3, 4)) -> DataFrame:
     """(key_a, key_b), key_a < key_b: pairs whose words have at least share[0]/share[1] in common.
 
     Null texts count as empty; records without any word are in no pair; rows
-    that repeat a key count once; equal word sets are pairs too. Similarity is
-    verified exactly; a pair at 0.75 is missed with probability 5e-5, one at
-    0.76 with 1e-5, one at 0.80 with 1e-8 (README).
+    that repeat a key count once, with one of their texts; equal word sets are
+    pairs too. Similarity is verified exactly; a pair at 0.75 is missed with
+    probability 5e-5, one at 0.76 with 1e-5, one at 0.80 with 1e-8 (README).
     """
-    similar, member, rep_ids = _similar(records, key, texts, share)
-    group = member.union(rep_ids)
-    inside = group.select("rep", F.col("id2").alias("ia")).join(group.select("rep", F.col("id2").alias("ib")), "rep").select("ia", "ib")
-    ma, mb = member.select(F.col("rep").alias("a"), F.col("id2").alias("ja")), member.select(F.col("rep").alias("b"), F.col("id2").alias("jb"))
-    spread = similar.join(ma, "a", "left").join(mb, "b", "left")
-    spread = spread.select(F.explode(F.array_compact(F.array(
-        F.struct("ia", "ib"), F.when(F.col("ja").isNotNull(), F.struct(F.col("ja").alias("ia"), "ib")), F.when(F.col("jb").isNotNull(), F.struct("ia", F.col("jb").alias("ib"))),
-        F.when(F.col("ja").isNotNull() & F.col("jb").isNotNull(), F.struct(F.col("ja").alias("ia"), F.col("jb").alias("ib"))),
-    ))).alias("p")).select("p.*")
-    return spread.union(inside).where("ia != ib").select(F.least("ia", "ib").alias(f"{key}_a"), F.greatest("ia", "ib").alias(f"{key}_b")).dropDuplicates()
+    similar, members = _similar(records, key, texts, share)
+    members = cut(members)
+    inside = members.select("d", F.col("id").alias("ia")).join(members.select("d", F.col("id").alias("ib")), "d").where("ia < ib").select("ia", "ib")
+    across = similar.join(members.select(F.col("d").alias("a"), F.col("id").alias("ia")), "a").join(members.select(F.col("d").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
+    return across.union(inside).select(F.least("ia", "ib").alias(f"{key}_a"), F.greatest("ia", "ib").alias(f"{key}_b"))
 
 
 def similar_groups(records: DataFrame, key: str, texts: list[str], share: tuple[int, int] = (3, 4)) -> DataFrame:
     """(key, group_id, n_links) of every record in a group of two or more; a group holds all that pairs connect.
 
-    group_id is the smallest key of the group, n_links the number of links a
-    record has to others, copies counted as one link to their representative.
-    Copies aren't expanded into pairs, so a group of any size stays a row each.
+    group_id is the smallest key of the group. Of equal word sets the record of
+    the smallest key stands for the others: its n_links counts the word sets
+    similar to its own and its copies, that of a copy is 1. Copies aren't
+    expanded into pairs, so a group of any size stays a row each.
     """
-    similar, member, rep_ids = _similar(records, key, texts, share)
-    stand = rep_ids.select("rep", F.col("id2").alias("a"))
-    edges = cut(similar.select(F.col("ia").alias("a"), F.col("ib").alias("b")).union(member.join(stand, "rep").select("a", F.col("id2").alias("b"))).where("a != b").dropDuplicates())
-    ends = edges.select("a").union(edges.select("b"))
-    linked = ends.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n_links"))
-    named = components(linked.select("v"), edges)
-    return named.join(linked, "v").select(F.col("v").alias(key), F.col("component").alias("group_id"), "n_links")
+    similar, members = _similar(records, key, texts, share)
+    members = cut(members)
+    sets = members.groupBy("d").agg(F.min("id").alias("stand"), (F.count("*") - 1).alias("copies"))
+    links = similar.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("links"))
+    named = components(sets.select(F.col("d").alias("v")), similar).select(F.col("v").alias("d"), "component")
+    known = cut(sets.join(links, "d", "left").join(named, "d"))
+    least = known.groupBy("component").agg(F.min("stand").alias("group_id"))
+    of_set = known.join(least, "component").select("d", "stand", "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"))
+    return members.join(of_set, "d").select(F.col("id").alias(key), "group_id", F.when(F.col("id") == F.col("stand"), F.col("links")).otherwise(F.lit(1)).cast("long").alias("n_links"))
