@@ -28,8 +28,8 @@ RUN = 12
 PASSAGE = 2 * RUN
 K1, B = 1.2, 0.75
 BLOCK = 16
-#: Items sent to every task at once; a longer list is searched in slices of this size.
-ITEMS_AT_ONCE = 1_000
+#: Items sent to every task at once, about; a longer list is cut into slices of this size, each of which reads the corpus once more. Their block maxima take about 50 MB.
+ITEMS_AT_ONCE = 10_000
 #: The threshold, with room for rounding of sums of float32.
 NEED = 1.0 - 1e-4
 WORD = re.compile(r"[^\W_]+")
@@ -48,24 +48,30 @@ class ItemIndex:
         n = len(self.items)
         mean = sum(len(w) for _, w in self.items) / n if n else 1.0
         idf = {t: math.log(1 + (total - c + 0.5) / (c + 0.5)) for t in {t for _, w in self.items for t in w} for c in (min(counts.get(t, 0), total),)}
-        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.runs: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        weights: list[dict[str, float]] = []
+        runs: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for at, (_, w) in enumerate(self.items):
             tf = Counter(w)
             weight = {t: idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
-            least = min(sum(weight[t] for t in set(w[k : k + RUN])) for k in range(len(w) - RUN + 1))
-            for t, x in weight.items():
-                lists[t].append((at, x / least))
-            for k in range(len(w) - RUN + 1):
-                self.runs[tuple(w[k : k + RUN])].add(at)
-        self.term = {t: k for k, t in enumerate(lists)}
-        # blocks of neighbouring item numbers, the same for all lists, so that the live blocks of a query are found at once
-        blocks = -(-n // BLOCK)
-        self.weights = np.zeros((blocks * BLOCK, len(lists) + 1), dtype=np.float32)
-        for t, k in self.term.items():
-            for at, x in lists[t]:
-                self.weights[at, k] = x
-        self.block_most = self.weights.reshape(blocks, BLOCK, -1).max(axis=1) if n else np.zeros((0, 1), dtype=np.float32)
+            windows = {tuple(w[k : k + RUN]) for k in range(len(w) - RUN + 1)}
+            least = min(sum(weight[t] for t in set(run)) for run in windows)
+            weights.append({t: x / least for t, x in weight.items()})
+            for run in windows:
+                runs[run].append(at)
+        self.runs = dict(runs)
+        self.term = {t: k for k, t in enumerate({t: None for x in weights for t in x})}
+        # blocks of neighbouring item numbers, the same for all lists, so that the live blocks of a query are found at once;
+        # a block holds the postings of its own terms only
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.block_most = np.zeros((-(-n // BLOCK), len(self.term) + 1), dtype=np.float32)
+        for first in range(0, n, BLOCK):
+            own = weights[first : first + BLOCK]
+            terms = np.array(sorted({self.term[t] for x in own for t in x}))
+            held = np.zeros((len(own), len(terms)), dtype=np.float32)
+            for row, x in enumerate(own):
+                held[row, np.searchsorted(terms, [self.term[t] for t in x])] = list(x.values())
+            self.blocks.append((terms, held))
+            self.block_most[first // BLOCK, terms] = held.max(axis=0)
         self.most = self.block_most.max(axis=0).astype(np.float64) if n else np.zeros(1)
 
     def search(self, terms: np.ndarray) -> list[int]:
@@ -80,9 +86,10 @@ class ItemIndex:
         live = np.flatnonzero(self.block_most[:, terms].sum(axis=1) >= NEED)
         found: list[int] = []
         for block in live.tolist():
-            first = block * BLOCK
-            scores = self.weights[first : first + BLOCK, terms].sum(axis=1)
-            found.extend((first + np.flatnonzero(scores >= NEED)).tolist())
+            own, held = self.blocks[block]
+            at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+            scores = held[:, at[own[at] == terms]].sum(axis=1)
+            found.extend((block * BLOCK + np.flatnonzero(scores >= NEED)).tolist())
         return found
 
     def leaks(self, tokens: list[str], codes: np.ndarray) -> dict[int, int]:
@@ -102,7 +109,7 @@ class ItemIndex:
             for p in range(s, e - RUN + 1):
                 got = self.runs.get(tuple(tokens[p : p + RUN]))
                 if got:
-                    for i in got & hits:
+                    for i in hits.intersection(got):
                         out[i].update(range(p, p + RUN))
         return {i: len(at) for i, at in out.items()}
 
@@ -131,16 +138,18 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     document, answer_found whether the answer stands in it as consecutive words.
     Null or short texts and passages leak nothing; repeated doc_ids are counted
     once with their largest figures; an empty table on either side gives no rows.
-    No shuffle but the final one over the few hits.
+    One scan counts the words of all items, another searches up to ITEMS_AT_ONCE
+    of them; no shuffle but the final one over the few hits.
     """
     known = items.select("item_id", "passage", "question", "answer").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull())
-    ids = [r.item_id for r in known.select("item_id").orderBy("item_id").toLocalIterator()] if known.count() > ITEMS_AT_ONCE else []
-    slices = [known] if not ids else [known.where(F.col("item_id").between(ids[k], ids[min(k + ITEMS_AT_ONCE, len(ids)) - 1])) for k in range(0, len(ids), ITEMS_AT_ONCE)]
+    many = max(1, math.ceil(known.count() / ITEMS_AT_ONCE))
+    slices = [known.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == k) for k in range(many)]
     schema = "doc_id long, item_id long, shared_words int, question_share double, answer_found boolean"
+    lists = [[tuple(r) for r in part.collect()] for part in slices]
+    every, total = corpus_counts(documents, {t for rows in lists for _, p, _, _ in rows for t in words(p)})
     out = None
-    for part in slices:
-        rows = [(r.item_id, r.passage, r.question, r.answer) for r in part.collect()]
-        counts, total = corpus_counts(documents, {t for _, p, _, _ in rows for t in words(p)})
+    for rows in lists:
+        counts = {t: every[t] for _, p, _, _ in rows for t in words(p) if t in every}
 
         def run(batches: Iterator[pd.DataFrame], rows=rows, counts=counts, total=total) -> Iterator[pd.DataFrame]:
             index = ItemIndex([(i, words(p)) for i, p, _, _ in rows], counts, total)

@@ -10,6 +10,11 @@ ITEMS = "item_id long, passage string, question string, answer string, doc_id in
 WORDS = [f"w{k}" for k in range(120)]
 
 
+def weight(index, d, terms):
+    own, held = index.blocks[d // leakage.BLOCK]
+    return held[d % leakage.BLOCK, leakage.np.isin(own, terms)].sum()
+
+
 def test_search_finds_all_above_the_threshold():
     rng = random.Random(1)
     items = [(k, rng.choices(WORDS, k=rng.randint(5, 60))) for k in range(150)]
@@ -17,7 +22,7 @@ def test_search_finds_all_above_the_threshold():
     assert all(len(w) >= leakage.RUN for _, w in index.items)
     for _ in range(200):
         terms = leakage.np.array(sorted(rng.sample(range(len(index.term)), rng.randint(1, 30))))
-        want = [d for d in range(len(index.items)) if index.weights[d, terms].sum() >= leakage.NEED]
+        want = [d for d in range(len(index.items)) if weight(index, d, terms) >= leakage.NEED]
         assert index.search(terms) == want
 
 
@@ -70,3 +75,16 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([(1, "x " * 40, 0, "")], DOCS), spark.createDataFrame([(1, "y " * 40, "q", "a", 0)], ITEMS)
     assert leakage.find_leaks(docs.limit(0), items).count() == 0
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_thousands_of_items_are_one_scan(spark):
+    rng = random.Random(5)
+    own = [f"v{k}" for k in range(3_000)]
+    items = [(k, " ".join(rng.sample(own, 14)), "", "", 0) for k in range(2_500)]
+    docs = [(k, "some words before " + items[k * 7][1] + " and after", 0, "") for k in range(200)]
+    found = leakage.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k * 7) for k in range(200)}
+    # a block holds its own terms only
+    index = leakage.ItemIndex([(k, p.split()) for k, p, *_ in items], {}, 10)
+    assert sum(held.size for _, held in index.blocks) < 0.2 * len(index.items) * len(index.term)
