@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import jaccard, sorted_tokens, tokenize
 from millrace.session import cut
@@ -22,10 +23,9 @@ CLUSTER_AT, FUZZY_AT, AMBIGUOUS_AT, SHARED_WORDS = 85, 90, 70, 0.5
 
 
 def _bags(strings: list[str]) -> np.ndarray:
-    out = np.zeros((len(strings), CLASSES), dtype=np.int16)
-    for k, s in enumerate(strings):
-        np.add.at(out[k], np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) % CLASSES, 1)
-    return out
+    counts = [np.bincount(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) % CLASSES, minlength=CLASSES) for s in strings]
+    # counts beyond 255 are cut, which only makes differences smaller
+    return np.minimum(np.array(counts).reshape(-1, CLASSES), 255).astype(np.uint8)
 
 
 def _lcs_with_all(one: str, codes: np.ndarray, symbol: dict[str, int]) -> np.ndarray:
@@ -68,7 +68,7 @@ def scored_pairs(left: list[str], right: list[str], threshold: int, same: bool)
     out = []
     for i, s in enumerate(left):
         total = la[i] + lb
-        at = np.flatnonzero(100 * np.abs(bb - ba[i]).sum(axis=1, dtype=np.int64) <= (100 - threshold) * total)
+        at = np.flatnonzero(100 * (np.maximum(bb, ba[i]) - np.minimum(bb, ba[i])).sum(axis=1, dtype=np.int64) <= (100 - threshold) * total)
         if same:
             at = at[at > i]
         if len(at):
@@ -190,7 +190,9 @@ def resolve_in_order(batch: DataFrame, existing: DataFrame) -> DataFrame:
     url, text, description. A url seen before drops the row (within_run_dup).
     A row's decision hangs on its best match that is not dropped: it is made as
     soon as that match is decided, for all rows at once, round by round, so no
-    chain of similar rows is gathered in one task.
+    chain of similar rows is gathered in one task. Of the rows of one string
+    only the first accepted and the first undecided one can be a match, so rows
+    meet strings, never each other.
     """
     old_urls = existing.where("url IS NOT NULL").select("url").dropDuplicates()
     firsts = batch.where("url IS NOT NULL").groupBy("url").agg(F.min("seq").alias("_first"))
@@ -203,24 +205,36 @@ def resolve_in_order(batch: DataFrame, existing: DataFrame) -> DataFrame:
     among = fuzzy_join(rows, None, AMBIGUOUS_AT)
     among = among.unionByName(among.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(rows.select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit(100.0).alias("score")).dropDuplicates())
     # order: existing by rank, then the batch by seq
-    to_old = rows.select("new_id", F.col("s").alias("a")).join(against, "a").join(olds.groupBy(F.col("s").alias("b")).agg(F.min(F.struct("rank", "old_id")).alias("o")), "b").select("new_id", F.col("o.old_id").alias("other"), "score", F.lit(0).alias("kind"), F.col("o.rank").alias("place"))
-    mine, theirs = rows.select("new_id", "seq", F.col("s").alias("a")), rows.select(F.col("new_id").alias("other"), F.col("seq").alias("place"), F.col("s").alias("b"))
-    to_new = mine.join(among, "a").join(theirs, "b").where("place < seq").select("new_id", "other", "score", F.lit(1).alias("kind"), "place")
-    edges = cut(to_old.unionByName(to_new))
+    owners = olds.groupBy(F.col("s").alias("b")).agg(F.min(F.struct("rank", "old_id")).alias("o"))
+    known = cut(against.join(owners, "b").groupBy(F.col("a").alias("s")).agg(F.max_by(F.struct(F.col("o.old_id").alias("other"), "score"), F.struct("score", F.negate(F.col("o.rank")))).alias("old")))
+    # a string that is sure to repeat a stored row is never accepted, so nothing waits for it
+    never = known.where(F.col("old.score") >= FUZZY_AT).select("s")
+    among = cut(among.join(never.withColumnRenamed("s", "b"), "b", "left_anti"))
     words = rows.select(F.col("new_id").alias("id"), "w").unionByName(olds.select(F.col("old_id").alias("id"), "w"))
-    done = cut(rows.join(edges.select("new_id").dropDuplicates(), "new_id", "left_anti").select("new_id", F.lit("canonical").alias("decision"), F.lit(None).cast("string").alias("canonical_id"), F.lit(None).cast("double").alias("match_score")))
-    open_rows = cut(edges.select("new_id").dropDuplicates())
-    while open_rows.limit(1).count():
-        state = done.select(F.col("new_id").alias("other"), F.col("decision").alias("state"))
-        live = edges.join(open_rows, "new_id").join(state, "other", "left").withColumn("state", F.when(F.col("kind") == 0, "canonical").otherwise(F.col("state"))).where("state IS NULL OR state = 'canonical'")
-        top = live.groupBy("new_id").agg(F.max_by(F.struct("other", "score", "state"), F.struct("score", F.negate(F.col("kind")), F.negate(F.col("place")))).alias("m"))
-        ready = open_rows.join(top, "new_id", "left").where("m IS NULL OR m.state = 'canonical'").select("new_id", "m.other", "m.score")
+    none = F.lit(None)
+    done = rows.limit(0).select("new_id", F.lit("").alias("decision"), none.cast("string").alias("canonical_id"), none.cast("double").alias("match_score"))
+    left = rows.select("new_id", "seq", "s")
+    accepted: DataFrame | None = None
+    while left.limit(1).count():
+        undecided = left.groupBy(F.col("s").alias("b")).agg(F.min("seq").alias("u"))
+        firsts = undecided.withColumn("c", none.cast(T.StructType([T.StructField("seq", rows.schema["seq"].dataType), T.StructField("new_id", T.StringType())])))
+        if accepted is not None:
+            firsts = undecided.join(accepted, "b", "full_outer")
+        met = left.withColumnRenamed("s", "a").join(among, "a").join(firsts, "b")
+        waits = (F.col("u") < F.col("seq")) & (F.col("c").isNull() | (F.col("u") < F.col("c.seq")))
+        option = F.when(waits, F.struct(none.cast("string").alias("other"), F.col("u").alias("place"))).when(F.col("c.seq") < F.col("seq"), F.struct(F.col("c.new_id").alias("other"), F.col("c.seq").alias("place")))
+        new = met.withColumn("x", option).where("x IS NOT NULL").groupBy("new_id").agg(F.max_by(F.struct("x.other", "score"), F.struct("score", F.negate(F.col("x.place")))).alias("new"))
+        top = left.join(new, "new_id", "left").join(known, "s", "left")
+        stored = F.col("old").isNotNull() & (F.col("new").isNull() | (F.col("old.score") >= F.col("new.score")))
+        ready = top.where(stored | F.col("new").isNull() | F.col("new.other").isNotNull()).select("new_id", "seq", "s", F.when(stored, F.col("old")).otherwise(F.col("new")).alias("m")).select("new_id", "seq", "s", "m.other", "m.score")
         told = ready.join(words.select(F.col("id").alias("new_id"), F.col("w").alias("wn")), "new_id").join(words.select(F.col("id").alias("other"), F.col("w").alias("wo")), "other", "left")
         shared = jaccard(F.col("wn"), F.col("wo"))
         kind = F.when(F.col("score") >= FUZZY_AT, "fuzzy_title_company").when(F.col("other").isNotNull() & (shared >= SHARED_WORDS), "description_similarity").otherwise("canonical")
-        new = cut(told.select("new_id", kind.alias("decision"), F.when(kind != "canonical", F.col("other")).alias("canonical_id"), F.when(kind == "fuzzy_title_company", F.bround(F.col("score") / 100, 4)).when(kind == "description_similarity", shared).alias("match_score")))
-        done = cut(done.unionByName(new))
-        open_rows = cut(open_rows.join(new.select("new_id"), "new_id", "left_anti"))
+        decided = cut(told.select("new_id", "seq", "s", kind.alias("decision"), F.when(kind != "canonical", F.col("other")).alias("canonical_id"), F.when(kind == "fuzzy_title_company", F.bround(F.col("score") / 100, 4)).when(kind == "description_similarity", shared).alias("match_score")))
+        done = cut(done.unionByName(decided.select("new_id", "decision", "canonical_id", "match_score")))
+        fresh = decided.where("decision = 'canonical'").select(F.col("s").alias("b"), F.struct("seq", "new_id").alias("c"))
+        accepted = cut((fresh if accepted is None else accepted.unionByName(fresh)).groupBy("b").agg(F.min("c").alias("c")))
+        left = cut(left.join(decided.select("new_id"), "new_id", "left_anti"))
     return done.unionByName(within)
 
 

@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Events that move a posting to ``to_state``: a mark and its undoing tell of the same move as the change written beside them.
+MOVES = ("state_change", "mark_applied", "mark_dismissed", "un_apply", "un_dismiss")
+FINAL = ("applied", "dismissed")
+
+
+def moves(events: DataFrame) -> DataFrame:
+    """The events that move a posting."""
+    return events.where(F.col("event_type").isin(*MOVES) & F.col("job_id").isNotNull() & F.col("to_state").isNotNull())
+
+
 def override_reason(to_state: Column, specialty: Column) -> Column:
     """acted_on_unclassified for a final state of a posting without a specialty."""
-    return F.when(to_state.isin("applied", "dismissed") & (specialty.isNull() | (specialty == "Unclassified")), "acted_on_unclassified")
+    return F.when(to_state.isin(*FINAL) & (specialty.isNull() | (specialty == "Unclassified")), "acted_on_unclassified")
 
 
 def current_state(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """(job_id, state): the last recorded change, else the stored state."""
-    last = events.where("event_type = 'state_change' AND job_id IS NOT NULL AND to_state IS NOT NULL").groupBy("job_id").agg(F.max_by("to_state", F.struct("recorded_at", "event_id")).alias("_to"))
+    """(job_id, state): where the last recorded move led, else the stored state."""
+    last = moves(events).groupBy("job_id").agg(F.max_by("to_state", F.struct("recorded_at", "event_id")).alias("_to"))
     return jobs.select("job_id", "state").join(last, "job_id", "left").select("job_id", F.coalesce("_to", "state").alias("state"))
 
 
@@ -47,13 +57,15 @@ def auto_review_events(opens: DataFrame) -> DataFrame:
 def transition_events(changes: DataFrame) -> DataFrame:
     """What a change of state writes. Applying and dismissing note the mark first; taking either back notes the change first."""
     mark = F.when(F.col("to_state") == "applied", "mark_applied").when(F.col("to_state") == "dismissed", "mark_dismissed")
-    undo = F.when((F.col("to_state") == "new") & (F.col("from_state") == "applied"), "un_apply").when((F.col("to_state") == "new") & (F.col("from_state") == "dismissed"), "un_dismiss")
+    back = F.col("to_state").isin("new", "reviewed")
+    undo = F.when(back & (F.col("from_state") == "applied"), "un_apply").when(back & (F.col("from_state") == "dismissed"), "un_dismiss")
     names = F.array_compact(F.array(mark, F.lit("state_change"), undo))
     return changes.select("event_id", "job_id", "from_state", "to_state", F.posexplode(names).alias("step", "written"))
 
 
 def override_rate_weekly(events: DataFrame) -> DataFrame:
-    """Extension: per week, changes to a final state and the share of them on unclassified postings."""
-    final = once(events).where("event_type = 'state_change' AND to_state IN ('applied', 'dismissed')")
+    """Extension: per week, moves to a final state and the share of them on unclassified postings; a mark and its change within a minute are one move."""
+    final = moves(once(events)).where(F.col("to_state").isin(*FINAL))
     hit = F.when(F.col("specialty_name").isNull() | (F.col("specialty_name") == "Unclassified"), 1).otherwise(0)
-    return final.groupBy(F.date_format(F.date_trunc("week", "recorded_at"), "yyyy-MM-dd").alias("week")).agg(F.count("*").alias("n_final"), F.sum(hit).alias("n_override"), F.round(F.avg(hit), 6).alias("override_rate"))
+    acts = final.groupBy("user_id", "job_id", "to_state", F.date_trunc("minute", "recorded_at").alias("at")).agg(F.max(hit).alias("hit"))
+    return acts.groupBy(F.date_format(F.date_trunc("week", "at"), "yyyy-MM-dd").alias("week")).agg(F.count("*").alias("n_final"), F.sum("hit").alias("n_override"), F.round(F.avg("hit"), 6).alias("override_rate"))

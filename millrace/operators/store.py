@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import cut
+
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by ``order``: an aggregate, combined before the shuffle, so a hot key is no problem."""
@@ -53,9 +55,13 @@ def delete_user(tables: dict[str, DataFrame], user_id: str) -> dict[str, DataFra
     }
 
 
-def next_ids(rows: DataFrame, start: int, order: list[str], name: str) -> DataFrame:
-    """``rows`` numbered from ``start`` + 1 in ``order``, by counts of range partitions instead of one global window."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+def next_ids(rows: DataFrame, start: int, order: list[Column | str], name: str) -> DataFrame:
+    """``rows`` numbered from ``start`` + 1 in ``order``, by counts of range partitions instead of one global window.
+
+    The sorted rows are written out first, since counts and rows must see the
+    same partitions; the offsets sent to every task are a row a partition.
+    """
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     first = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = first.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_low", "_offset")

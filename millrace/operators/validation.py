@@ -24,9 +24,9 @@ def salary_range(low: Column, high: Column) -> Column:
     return F.coalesce((low >= 0) & (high >= 0) & (high >= low), F.lit(False))
 
 
-def chunk(start: Column, end: Column, content: Column, order: Column) -> Column:
-    """A non-empty stretch of a document."""
-    return F.coalesce((start >= 0) & (end > start) & (F.length(content) >= 1) & (order >= 0), F.lit(False))
+def chunk(start: Column, end: Column, letters: Column, order: Column) -> Column:
+    """A stretch of a document, of at least one letter."""
+    return F.coalesce((start >= 0) & (end > start) & (letters >= 1) & (order >= 0), F.lit(False))
 
 
 def signal(event_type: Column, dwell_ms: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions import fields, salary, similarity, text
 from millrace.operators import filters, validation
@@ -553,11 +554,14 @@ def validate_salary_range(spark: SparkSession, d: str) -> DataFrame:
     return jobs(spark, d).select("job_id", validation.salary_range(F.col("salary_min_cad"), F.col("salary_max_cad")).alias("valid"))
 
 
-@BOOK.add("SELECT doc_id, i - 1 AS order_index, length(c) >= 1 AS valid FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS c FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents))")
+@BOOK.add("""SELECT doc_id, i - 1 AS order_index, start AS char_start, start + n AS char_end, n >= 1 AS valid FROM (SELECT doc_id, i, length(c) AS n, coalesce(sum(length(c) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS c FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents)))""")
 def validate_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of documents, by paragraph."""
-    chunks = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("order_index", "content"))
-    return chunks.select("doc_id", F.col("order_index").cast("long").alias("order_index"), validation.chunk(F.lit(0), F.length("content"), F.col("content"), F.col("order_index")).alias("valid"))
+    """Chunks of documents, by paragraph, with where they stand; only lengths are moved."""
+    sizes = table(spark, d, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n\n"), F.length)).alias("order_index", "n"))
+    before = Window.partitionBy("doc_id").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("char_start", F.coalesce(F.sum(F.col("n") + 2).over(before), F.lit(0))).withColumn("char_end", F.col("char_start") + F.col("n"))
+    return placed.select("doc_id", F.col("order_index").cast("long").alias("order_index"), "char_start", "char_end", validation.chunk(F.col("char_start"), F.col("char_end"), F.col("n"), F.col("order_index")).alias("valid"))
 
 
 @BOOK.add("SELECT event_id, coalesce(event_type IN ('state_change', 'detail_view_open', 'detail_view_close', 'override_inferred') AND (dwell_ms IS NULL OR dwell_ms >= 0), false) AS valid FROM signal_events")
@@ -566,10 +570,12 @@ def validate_signal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "signal_events").select("event_id", validation.signal(F.col("event_type"), F.col("dwell_ms")).alias("valid"))
 
 
-@BOOK.add("SELECT classification_id, coalesce(length(specialty_name) >= 1 AND model_name IN ('seed', 'config', 'proposed'), false) AS valid FROM classifications")
+@BOOK.add("""SELECT classification_id, coalesce(length(name) >= 1 AND source IN ('seed', 'config', 'proposed'), false) AS valid
+FROM (SELECT classification_id, nullif(specialty_name, 'Unclassified') AS name, CASE WHEN confidence = 'low' THEN model_name WHEN prompt_version = 'v1' THEN 'config' ELSE 'proposed' END AS source FROM classifications)""")
 def validate_specialty(spark: SparkSession, d: str) -> DataFrame:
-    """Specialties with a name and a known source (the model's name stands for the source)."""
-    return table(spark, d, "classifications").select("classification_id", validation.specialty(F.col("specialty_name"), F.col("model_name")).alias("valid"))
+    """Specialties with a name and a known source. No table has their source: the version of the prompt stands for it, and the model's name, which is none, where the model was unsure."""
+    source = F.when(F.col("confidence") == "low", F.col("model_name")).when(F.col("prompt_version") == "v1", "config").otherwise("proposed")
+    return table(spark, d, "classifications").select("classification_id", validation.specialty(F.nullif(F.col("specialty_name"), F.lit("Unclassified")), source).alias("valid"))
 
 
 @BOOK.add("SELECT classification_id, coalesce(json_array_length(duty_signals) >= 1, false) AS valid FROM classifications")

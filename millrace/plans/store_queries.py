@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import text
 from millrace.operators import dedup, feed, filters, signals, store
-from millrace.plans import pipeline, runner
+from millrace.plans import pipeline, resolution_sql, runner
 from millrace.plans.registry import Book
 from millrace.plans.scalar_queries import TITLE_SQL, VALID_SQL, jobs, malformed_sql, raw
 from millrace.session import table
@@ -50,13 +50,14 @@ def apply_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return store.apply_duplicates(jobs(spark, d).select("job_id", "duplicate_of"), table(spark, d, "duplicates"))
 
 
-LAST_SQL = "(SELECT job_id, arg_max(to_state, (epoch_us(recorded_at), event_id)) AS s, max(epoch_us(recorded_at)) AS t FROM signal_events WHERE event_type = 'state_change' AND job_id IS NOT NULL AND to_state IS NOT NULL GROUP BY job_id)"
+MOVED_SQL = "event_type IN ('state_change', 'mark_applied', 'mark_dismissed', 'un_apply', 'un_dismiss') AND job_id IS NOT NULL AND to_state IS NOT NULL"
+LAST_SQL = f"(SELECT job_id, arg_max(to_state, (epoch_us(recorded_at), event_id)) AS s, max(epoch_us(recorded_at)) AS t FROM signal_events WHERE {MOVED_SQL} GROUP BY job_id)"
 
 
 @BOOK.add(f"SELECT j.job_id, coalesce(e.s, j.state) AS state, coalesce(e.t, epoch_us(j.state_updated_at)) AS updated_us FROM jobs j LEFT JOIN {LAST_SQL} e USING (job_id)")
 def update_state(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs after all recorded changes of state."""
-    last = events(spark, d).where("event_type = 'state_change' AND job_id IS NOT NULL AND to_state IS NOT NULL").groupBy("job_id").agg(F.max_by("to_state", F.struct("recorded_at", "event_id")).alias("s"), F.max("recorded_at").alias("t"))
+    """Jobs after all recorded moves."""
+    last = signals.moves(events(spark, d)).groupBy("job_id").agg(F.max_by("to_state", F.struct("recorded_at", "event_id")).alias("s"), F.max("recorded_at").alias("t"))
     return jobs(spark, d).select("job_id", "state", "state_updated_at").join(last, "job_id", "left").select("job_id", F.coalesce("s", "state").alias("state"), F.unix_micros(F.coalesce("t", "state_updated_at")).alias("updated_us"))
 
 
@@ -190,7 +191,7 @@ def url_exact_dup(spark: SparkSession, d: str) -> DataFrame:
     return incoming(spark, d).select("arrival_id", "url").join(known, "url").select("arrival_id", "job_id")
 
 
-# --- resolution: no SQL, tested against brute force ---------------------------------------------------
+# --- resolution ---------------------------------------------------------------------------------------
 
 
 def _texts(rows: DataFrame, key: str, order) -> DataFrame:
@@ -203,43 +204,43 @@ def _batch(spark: SparkSession, d: str) -> DataFrame:
 
 def _existing(spark: SparkSession, d: str) -> DataFrame:
     """Stored canonical jobs, the latest fetched first."""
-    below = F.pmod(F.xxhash64("job_id"), F.lit(1_000_000))
-    return _texts(jobs(spark, d).where("duplicate_of IS NULL").withColumn("old_id", F.col("job_id")), "old_id", below - F.unix_micros("fetched_at")).withColumnRenamed("place", "rank")
+    ranked = store.next_ids(jobs(spark, d).where("duplicate_of IS NULL").withColumn("old_id", F.col("job_id")), 0, [F.desc("fetched_at"), F.asc("job_id")], "place")
+    return _texts(ranked, "old_id", F.col("place")).withColumnRenamed("place", "rank")
 
 
-@BOOK.add()
+@BOOK.add(resolution_sql.FUZZY_PAIRS)
 def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of fingerprints of incoming rows with a ratio of at least 85."""
-    rows = incoming(spark, d).select(text.fingerprint(F.col("title"), F.col("company")).alias("s"))
+    """All pairs of fingerprints of a captured batch with a ratio of at least 85."""
+    rows = raw(spark, d).select(text.fingerprint(F.col("title"), F.col("company")).alias("s"))
     return dedup.fuzzy_join(rows, None, dedup.CLUSTER_AT)
 
 
-@BOOK.add()
+@BOOK.add(resolution_sql.BEST_MATCH)
 def best_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     """The best stored match of each incoming row."""
     return dedup.best_matches(_batch(spark, d), _existing(spark, d))
 
 
-@BOOK.add()
+@BOOK.add(resolution_sql.CHECK)
 def dedup_check(spark: SparkSession, d: str) -> DataFrame:
     """Incoming rows that repeat a stored one, each on its own."""
     return dedup.dedup_check(_batch(spark, d), _existing(spark, d))
 
 
-@BOOK.add()
+@BOOK.add(resolution_sql.CLUSTERS)
 def cross_source_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of incoming rows by fingerprint; the first of each is kept."""
-    rows = incoming(spark, d).select("arrival_id", text.fingerprint(F.col("title"), F.col("company")).alias("fp"))
-    return dedup.cross_source_clusters(rows, "arrival_id", "arrival_id").select("arrival_id", "cluster", "kept")
+    """Clusters of a captured batch by fingerprint; the first of each is kept."""
+    rows = raw(spark, d).select("id", "scraped_at", text.fingerprint(F.col("title"), F.col("company")).alias("fp")).dropDuplicates()
+    return dedup.cross_source_clusters(rows, "scraped_at", "id").select("id", "cluster", "kept")
 
 
-@BOOK.add()
+@BOOK.add(resolution_sql.CROSS_RUN)
 def cross_run_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Incoming rows checked in order against stored ones and against what was accepted before."""
     return dedup.resolve_in_order(_batch(spark, d), _existing(spark, d))
 
 
-@BOOK.add()
+@BOOK.add(resolution_sql.SEED)
 def seed_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """A first batch checked in order against itself alone."""
     return dedup.resolve_in_order(_batch(spark, d), _existing(spark, d).limit(0))
@@ -310,8 +311,9 @@ def field_coverage(spark: SparkSession, d: str) -> DataFrame:
     return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n_known")) for c in COVERED])).alias("x")).select("x.field", "x.n_known", "n")
 
 
-@BOOK.add("""SELECT strftime(date_trunc('week', to_timestamp(epoch_us(recorded_at) // 1000000) AT TIME ZONE 'UTC'), '%Y-%m-%d') AS week, count(*) AS n_final, sum(CASE WHEN coalesce(specialty_name, 'Unclassified') = 'Unclassified' THEN 1 ELSE 0 END)::BIGINT AS n_override,
-round(avg(CASE WHEN coalesce(specialty_name, 'Unclassified') = 'Unclassified' THEN 1 ELSE 0 END), 6) AS override_rate FROM (SELECT DISTINCT * FROM signal_events) WHERE event_type = 'state_change' AND to_state IN ('applied', 'dismissed') GROUP BY 1""")
+@BOOK.add(f"""SELECT strftime(date_trunc('week', m), '%Y-%m-%d') AS week, count(*) AS n_final, sum(hit)::BIGINT AS n_override, round(avg(hit), 6) AS override_rate
+FROM (SELECT user_id, job_id, to_state, date_trunc('minute', to_timestamp(epoch_us(recorded_at) // 1000000) AT TIME ZONE 'UTC') AS m, max(CASE WHEN coalesce(specialty_name, 'Unclassified') = 'Unclassified' THEN 1 ELSE 0 END) AS hit
+FROM signal_events WHERE {MOVED_SQL} AND to_state IN ('applied', 'dismissed') GROUP BY 1, 2, 3, 4) GROUP BY 1""")
 def override_rate_weekly(spark: SparkSession, d: str) -> DataFrame:
     """Extension: overrides per week."""
     return signals.override_rate_weekly(events(spark, d))
@@ -393,10 +395,10 @@ def get_job(spark: SparkSession, d: str) -> DataFrame:
 # --- events -------------------------------------------------------------------------------------------
 
 
-@BOOK.add("SELECT event_id, CASE WHEN to_state IN ('applied', 'dismissed') AND coalesce(specialty_name, 'Unclassified') = 'Unclassified' THEN 'acted_on_unclassified' END AS override_reason FROM signal_events WHERE event_type = 'state_change'")
+@BOOK.add(f"SELECT event_id, CASE WHEN to_state IN ('applied', 'dismissed') AND coalesce(specialty_name, 'Unclassified') = 'Unclassified' THEN 'acted_on_unclassified' END AS override_reason FROM signal_events WHERE {MOVED_SQL}")
 def override_reason(spark: SparkSession, d: str) -> DataFrame:
-    """Overrides inferred from changes of state."""
-    return events(spark, d).where("event_type = 'state_change'").select("event_id", signals.override_reason(F.col("to_state"), F.col("specialty_name")).alias("override_reason"))
+    """Overrides inferred from moves."""
+    return signals.moves(events(spark, d)).select("event_id", signals.override_reason(F.col("to_state"), F.col("specialty_name")).alias("override_reason"))
 
 
 @BOOK.add("""SELECT job_id, step::INTEGER AS step, event_type, from_state, to_state FROM (SELECT job_id, 0 AS step, 'state_change' AS event_type, 'new' AS from_state, 'reviewed' AS to_state FROM jobs WHERE state = 'new'
@@ -413,13 +415,16 @@ def dwell_ms(spark: SparkSession, d: str) -> DataFrame:
     return signals.dwell_times(events(spark, d))
 
 
-@BOOK.add("""SELECT event_id, job_id, from_state, to_state, step::INTEGER AS step, written FROM (
-SELECT *, 0 AS step, CASE to_state WHEN 'applied' THEN 'mark_applied' ELSE 'mark_dismissed' END AS written FROM signal_events WHERE event_type = 'state_change' AND to_state IN ('applied', 'dismissed')
-UNION ALL SELECT *, CASE WHEN to_state IN ('applied', 'dismissed') THEN 1 ELSE 0 END, 'state_change' FROM signal_events WHERE event_type = 'state_change'
-UNION ALL SELECT *, 1, CASE from_state WHEN 'applied' THEN 'un_apply' ELSE 'un_dismiss' END FROM signal_events WHERE event_type = 'state_change' AND to_state = 'new' AND from_state IN ('applied', 'dismissed'))""")
+@BOOK.add(f"""WITH c AS (SELECT event_id, job_id, from_state, to_state FROM signal_events WHERE {MOVED_SQL} UNION ALL SELECT NULL, job_id, state, 'new' FROM jobs WHERE state IN ('applied', 'dismissed'))
+SELECT event_id, job_id, from_state, to_state, step::INTEGER AS step, written FROM (
+SELECT *, 0 AS step, CASE to_state WHEN 'applied' THEN 'mark_applied' ELSE 'mark_dismissed' END AS written FROM c WHERE to_state IN ('applied', 'dismissed')
+UNION ALL SELECT *, CASE WHEN to_state IN ('applied', 'dismissed') THEN 1 ELSE 0 END, 'state_change' FROM c
+UNION ALL SELECT *, 1, CASE from_state WHEN 'applied' THEN 'un_apply' ELSE 'un_dismiss' END FROM c WHERE to_state IN ('new', 'reviewed') AND from_state IN ('applied', 'dismissed'))""")
 def transition_events(spark: SparkSession, d: str) -> DataFrame:
-    """What each change of state writes, in order."""
-    return signals.transition_events(events(spark, d).where("event_type = 'state_change'"))
+    """What each recorded move writes, in order, and what taking back every applied or dismissed job would."""
+    kept = ["event_id", "job_id", "from_state", "to_state"]
+    back = jobs(spark, d).where(F.col("state").isin(*signals.FINAL)).select(F.lit(None).cast("long").alias("event_id"), "job_id", F.col("state").alias("from_state"), F.lit("new").alias("to_state"))
+    return signals.transition_events(signals.moves(events(spark, d)).select(*kept).unionByName(back))
 
 
 @BOOK.add(f"SELECT j.job_id, coalesce(e.s, j.state) AS state FROM jobs j LEFT JOIN {LAST_SQL} e USING (job_id)")

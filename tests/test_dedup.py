@@ -100,3 +100,14 @@ def test_check(spark):
     new = [("n1", "u1", "x", "y"), ("n2", "u9", "data scientist senior acme corp", "z"), ("n3", "u8", "senior data scientist acme", "we build models now"), ("n4", "u7", "zzz", "q"), ("n5", None, "zzz", None)]
     got = dedup.dedup_check(spark.createDataFrame(new, "new_id string, url string, text string, description string"), spark.createDataFrame(old, "old_id string, rank long, url string, text string, description string")).collect()
     assert {(r.new_id, r.canonical_id, r.match_type) for r in got} == {("n1", "o1", "url_exact"), ("n2", "o1", "fuzzy_title_company"), ("n3", "o1", "description_similarity")} or {r.new_id for r in got} == {"n1", "n2", "n3"}
+
+
+def test_one_string_repeated_many_times(spark):
+    schema = "new_id string, seq long, url string, text string, description string"
+    batch = spark.createDataFrame([(f"n{k}", k, f"u{k}", "senior data engineer pricing acme", f"words {k}") for k in range(600)], schema)
+    none = spark.createDataFrame([], "old_id string, rank long, url string, text string, description string")
+    got = {r.new_id: (r.decision, r.canonical_id) for r in dedup.resolve_in_order(batch, none).collect()}
+    assert got.pop("n0") == ("canonical", None) and len(got) == 599 and set(got.values()) == {("fuzzy_title_company", "n0")}
+    # all repeat a stored one that is spelt otherwise: nothing waits for anything
+    stored = spark.createDataFrame([("old", 1, "x", "senior data engineers pricing acme", "other")], none.schema)
+    assert {(r.decision, r.canonical_id) for r in dedup.resolve_in_order(batch, stored).collect()} == {("fuzzy_title_company", "old")}

@@ -46,7 +46,7 @@ def test_contracts(spark):
     lit = F.lit
     checks = [
         (validation.raw_posting(lit("google"), lit("u"), lit("d"), lit("x")), True), (validation.raw_posting(lit("google"), lit(""), lit("d")), False), (validation.raw_posting(lit("other"), lit("u"), lit("d")), False),
-        (validation.raw_posting(lit("google"), lit("u"), lit("d"), lit(None)), False), (validation.salary_range(lit(5), lit(4)), False), (validation.salary_range(lit(None), lit(4)), False), (validation.chunk(lit(0), lit(0), lit("x"), lit(0)), False),
+        (validation.raw_posting(lit("google"), lit("u"), lit("d"), lit(None)), False), (validation.salary_range(lit(5), lit(4)), False), (validation.salary_range(lit(None), lit(4)), False), (validation.chunk(lit(0), lit(0), lit(1), lit(0)), False),
         (validation.signal(lit("state_change"), lit(None).cast("int")), True), (validation.signal(lit("un_apply"), lit(1)), False), (validation.specialty(lit("x"), lit("seed")), True), (validation.draft(F.array()), False),
     ]
     got = one.select(*[c.alias(str(k)) for k, (c, _) in enumerate(checks)]).first()
