@@ -28,8 +28,8 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The members whose pay and size bucket survive: a half-life of 1 ms makes the latest value of the most trusted source win."""
-    won = survivors.survivors(table(spark, sf_dir, "jobs"), half_life_ms=1, source_trust=2**42)
+    """The members whose pay and size bucket survive: the latest value of the most trusted source outvotes all others."""
+    won = survivors.survivors(table(spark, sf_dir, "jobs"), half_life_ms=survivors.LATEST, source_trust=survivors.ANY_AGE)
     return won.select(F.col("group_key").alias("group_job_id"), F.col("salary_min_cad_key").alias("salary_job_id"), F.col("company_size_bucket_key").alias("bucket_job_id"))
 
 

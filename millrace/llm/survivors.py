@@ -6,8 +6,10 @@ its age. Votes are summed per normalised value, the value with most votes
 wins (``max_by``) and the winners are pivoted back to one row a group.
 
 Sums are kept in windows of ``2 ** 64`` so that no vote underflows, however
-short the half-life; with a short one the latest value of the most trusted
-source outvotes everything else, which is the rule of ``p2_found``.
+short the half-life. With one of a 64th of a microsecond (``LATEST``) every
+microsecond is a window of its own, counted in whole numbers: the latest value
+of the most trusted source outvotes everything else, which is the rule of
+``p2_found``.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from millrace.session import cut
 
 WINDOW_BITS = 64
+#: Half-life with which a vote outweighs all that are a microsecond older, and the trust that outweighs any age.
+LATEST, ANY_AGE = 0, 2**60
 
 
 @dataclass(frozen=True)
@@ -65,25 +69,28 @@ def vote(rows: DataFrame, key: str, link: str, fields: list[Field], seen_at: str
     Nulls and values that aren't valid get no vote; a field without a vote is
     null. Equal vote totals go to the larger normalised value, equal votes
     inside a value to the larger key. Repeated rows vote once. A row without a
-    time votes as if it were of 1970.
+    time votes as if it were of 1970. With half_life_ms LATEST, trust must be a
+    multiple of 64.
     """
+    latest = half_life_ms == LATEST
     parents = group_roots(rows, key, link)
-    aged = F.coalesce(F.unix_millis(seen_at), F.lit(0)).cast("long")
+    aged = F.coalesce(F.unix_micros(seen_at), F.lit(0)).cast("long")
+    weigh = lambda trust: trust.cast("long") + aged * WINDOW_BITS if latest else trust.cast("double") + aged / F.lit(1000.0 * half_life_ms)
     parent = F.coalesce(F.col(link), F.col(key))
     ballots = F.array(
         *[
             F.when(
                 f.valid,
-                F.struct(F.lit(f.name).alias("field"), f.normal.cast("string").alias("normal"), F.col(f.name).cast("string").alias("value"), (f.trust.cast("double") + aged / F.lit(float(half_life_ms))).alias("weight")),
+                F.struct(F.lit(f.name).alias("field"), f.normal.cast("string").alias("normal"), F.col(f.name).cast("string").alias("value"), weigh(f.trust).alias("weight")),
             )
             for f in fields
         ],
-        F.struct(F.lit("").alias("field"), F.lit(None).cast("string").alias("normal"), F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("weight")),
+        F.struct(F.lit("").alias("field"), F.lit(None).cast("string").alias("normal"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("long" if latest else "double").alias("weight")),
     )
     long = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), parent.alias("parent"), F.explode(F.array_compact(ballots)).alias("b")).select("_key", "parent", "b.*")
     # a vote also carries into the next window, scaled, so that a window holds all that counts beside its largest vote
-    window = F.floor(F.col("weight") / WINDOW_BITS)
-    part = F.pow(F.lit(2.0), F.col("weight") - window * WINDOW_BITS)
+    window = F.shiftright("weight", 6) if latest else F.floor(F.col("weight") / WINDOW_BITS)
+    part = F.pow(F.lit(2.0), (F.col("weight") - window * WINDOW_BITS).cast("double"))
     spread = long.select(
         "_key", "parent", "field", "normal", "value", "weight",
         F.explode(F.array(F.struct(window.alias("window"), part.alias("part"), F.lit(True).alias("own")), F.struct((window + 1).alias("window"), (part * F.lit(2.0**-WINDOW_BITS)).alias("part"), F.lit(False).alias("own")))).alias("w"),
@@ -95,7 +102,7 @@ def vote(rows: DataFrame, key: str, link: str, fields: list[Field], seen_at: str
     )
     grouped = first.join(parents, "parent", "inner").groupBy("group_key", "field", "normal", "window").agg(F.sum("part").alias("part"), F.max("own").alias("own"), F.max("top").alias("top"), F.min("k0").alias("k0"), F.max("k1").alias("k1"))
     total = F.col("window") * WINDOW_BITS + F.log2("part")
-    best = grouped.where("own").groupBy("group_key", "field").agg(F.max_by(F.struct("top.value", F.col("top._key").alias("key"), total.alias("votes")), F.struct(total, "normal")).alias("won"), F.min("k0").alias("k0"), F.max("k1").alias("k1"))
+    best = grouped.where("own").groupBy("group_key", "field").agg(F.max_by(F.struct("top.value", F.col("top._key").alias("key"), total.alias("votes")), F.struct("window", "part", "normal") if latest else F.struct(total, "normal")).alias("won"), F.min("k0").alias("k0"), F.max("k1").alias("k1"))
     wide = best.groupBy("group_key").agg(
         *[F.max(F.when(F.col("field") == f.name, F.col("won"))).alias(f.name) for f in fields],
         F.min(F.when(F.col("field") == "", F.col("k0"))).alias("k0"), F.max(F.when(F.col("field") == "", F.col("k1"))).alias("k1"),

@@ -16,7 +16,7 @@ def at(hours):
 
 def found(spark, rows, **kw):
     table = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
-    won = survivors.survivors(table, **({"half_life_ms": 1, "source_trust": 2**42} | kw)).collect()
+    won = survivors.survivors(table, **({"half_life_ms": survivors.LATEST, "source_trust": survivors.ANY_AGE} | kw)).collect()
     return {r.group_key: (r.salary_min_cad_key, r.company_size_bucket_key) for r in won}
 
 
@@ -63,3 +63,16 @@ def test_votes_against_plain_sums(spark):
 def test_hot_group(spark):
     rows = [("hub", None, 20000, None, "small", at(0))] + [(f"m{k:05}", "hub", 20000 + k % 7, None, "large", at(k)) for k in range(3000)]
     assert found(spark, rows) == {"hub": ("m02999", "m02999")}
+
+
+def test_a_microsecond_decides_however_many_agree(spark):
+    t = at(1)
+    rows = [("a", None, 50000, "regex", "small", t), ("b", "a", 50000, "regex", "small", t), ("c", "a", 40000, "regex", "micro", t + timedelta(microseconds=1))]
+    rows += [(f"d{k}", "a", 50000, "regex", "small", t) for k in range(200)]
+    assert found(spark, rows)["a"] == ("c", "c")
+    # in the same microsecond the value that more rows hold wins
+    rows = [("a", None, 50000, "regex", "small", t), ("b", "a", 50000, "regex", "small", t), ("c", "a", 60000, "regex", "micro", t)]
+    assert found(spark, rows)["a"] == ("b", "b")
+    # an early value of the site itself goes before a late one read from text
+    rows = [("a", None, 50000, "source_field", "small", datetime(1971, 1, 1, tzinfo=timezone.utc)), ("b", "a", 60000, "regex", None, datetime(2200, 1, 1, tzinfo=timezone.utc))]
+    assert found(spark, rows)["a"] == ("a", "a")
