@@ -28,7 +28,7 @@ RUN = 12
 PASSAGE = 2 * RUN
 K1, B = 1.2, 0.75
 BLOCK = 16
-#: Items sent to every task at once, about; a longer list is cut into slices of this size, each of which reads the corpus once more. Their block maxima take about 50 MB.
+#: Items sent to every task at once, about; a longer list is cut into slices of this size, each of which reads the corpus once more. Their block maxima and columns take about 100 MB.
 ITEMS_AT_ONCE = 10_000
 #: The threshold, with room for rounding of sums of float32.
 NEED = 1.0 - 1e-4
@@ -62,16 +62,20 @@ class ItemIndex:
         self.term = {t: k for k, t in enumerate({t: None for x in weights for t in x})}
         # blocks of neighbouring item numbers, the same for all lists, so that the live blocks of a query are found at once;
         # a block holds the postings of its own terms only
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.blocks: list[np.ndarray] = []
         self.block_most = np.zeros((-(-n // BLOCK), len(self.term) + 1), dtype=np.float32)
+        # where a term's weights stand in its block; terms that a block doesn't hold point to a column of zeros
+        self.column = np.zeros(self.block_most.shape, dtype=np.int32)
         for first in range(0, n, BLOCK):
             own = weights[first : first + BLOCK]
             terms = np.array(sorted({self.term[t] for x in own for t in x}))
-            held = np.zeros((len(own), len(terms)), dtype=np.float32)
+            held = np.zeros((len(own), len(terms) + 1), dtype=np.float32)
             for row, x in enumerate(own):
                 held[row, np.searchsorted(terms, [self.term[t] for t in x])] = list(x.values())
-            self.blocks.append((terms, held))
-            self.block_most[first // BLOCK, terms] = held.max(axis=0)
+            self.blocks.append(held)
+            self.block_most[first // BLOCK, terms] = held[:, :-1].max(axis=0)
+            self.column[first // BLOCK] = len(terms)
+            self.column[first // BLOCK, terms] = np.arange(len(terms))
         self.most = self.block_most.max(axis=0).astype(np.float64) if n else np.zeros(1)
 
     def search(self, terms: np.ndarray) -> list[int]:
@@ -86,9 +90,7 @@ class ItemIndex:
         live = np.flatnonzero(self.block_most[:, terms].sum(axis=1) >= NEED)
         found: list[int] = []
         for block in live.tolist():
-            own, held = self.blocks[block]
-            at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-            scores = held[:, at[own[at] == terms]].sum(axis=1)
+            scores = self.blocks[block][:, self.column[block, terms]].sum(axis=1)
             found.extend((block * BLOCK + np.flatnonzero(scores >= NEED)).tolist())
         return found
 
