@@ -111,3 +111,15 @@ def test_one_string_repeated_many_times(spark):
     # all repeat a stored one that is spelt otherwise: nothing waits for anything
     stored = spark.createDataFrame([("old", 1, "x", "senior data engineers pricing acme", "other")], none.schema)
     assert {(r.decision, r.canonical_id) for r in dedup.resolve_in_order(batch, stored).collect()} == {("fuzzy_title_company", "old")}
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"{k:04}" for k in range(400)]
+    rng.shuffle(names)
+    edges = list(zip(names, names[1:]))
+    rounds, plain = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: rounds.append(1) or plain(df))
+    got = dedup.components(spark.createDataFrame([(v,) for v in names], "v string"), spark.createDataFrame(edges, "a string, b string")).collect()
+    assert {r.component for r in got} == {"0000"} and len(got) == 400
+    assert len(rounds) <= 12
