@@ -79,6 +79,47 @@ def sequential(batch, existing):
     return out
 
 
+def no_search_at_the_floor(monkeypatch):
+    """Whole tables may not be searched down to AMBIGUOUS_AT."""
+
+    def refuse(*_):
+        raise AssertionError("a search at the floor")
+
+    plain = dedup.fuzzy_join
+    monkeypatch.setattr(dedup, "closest", refuse)
+    monkeypatch.setattr(dedup, "fuzzy_join", lambda left, right, threshold: refuse() if threshold < dedup.CLUSTER_AT else plain(left, right, threshold))
+
+
+def test_check_searches_low_only_beside_alike_descriptions(spark, monkeypatch):
+    no_search_at_the_floor(monkeypatch)
+    rng = random.Random(5)
+    row = lambda k, p: (f"{p}{k}", k, f"{p}{k}", " ".join(rng.choices(WORDS, k=5)), " ".join(rng.choices(WORDS, k=4)) if k % 9 else None)
+    new, old = [row(k, "n") for k in range(80)], [row(k, "o") for k in range(40)]
+    key = lambda t: " ".join(sorted(t.split()))
+    want = {}
+    for n in new:
+        score, _, o = max(((ratio(key(n[3]), key(o[3])), -o[1], o) for o in old), key=lambda x: x[:2])
+        a, b = set((n[4] or "").split()), set((o[4] or "").split())
+        if score >= 90 or (score >= 70 and a | b and len(a & b) / len(a | b) >= 0.5):
+            want[n[0]] = (o[0], "fuzzy_title_company" if score >= 90 else "description_similarity")
+    tables = [spark.createDataFrame(t, f"{p}_id string, {k} long, url string, text string, description string") for t, p, k in ((new, "new", "seq"), (old, "old", "rank"))]
+    got = dedup.dedup_check(tables[0].drop("seq"), tables[1]).collect()
+    assert {r.new_id: (r.canonical_id, r.match_type) for r in got} == want and len({k for _, k in want.values()}) == 2
+
+
+def test_order_searches_low_only_beside_alike_descriptions(spark, monkeypatch):
+    no_search_at_the_floor(monkeypatch)
+    monkeypatch.setattr(dedup, "MANY", 3)
+    rng = random.Random(6)
+    row = lambda k, p: (f"{p}{k}", k, f"{p}{k}", " ".join(rng.choices(WORDS, k=5)), " ".join(rng.choices(WORDS, k=4)))
+    batch = [row(k, "n") for k in range(70)]
+    schema = "{0}_id string, {1} long, url string, text string, description string"
+    for existing in ([row(k, "o") for k in range(12)], []):
+        got = dedup.resolve_in_order(spark.createDataFrame(batch, schema.format("new", "seq")), spark.createDataFrame(existing, schema.format("old", "rank"))).collect()
+        seen = {r.new_id: (r.decision, r.canonical_id) if r.decision in ("fuzzy_title_company", "description_similarity") else r.decision for r in got}
+        assert seen == sequential(batch, existing) and len(got) == 70
+
+
 def test_ordered_check_against_the_loop(spark):
     rng = random.Random(3)
     row = lambda k, p: (f"{p}{k}", k, f"u{rng.randint(0, 60)}", " ".join(rng.choices(WORDS, k=5)), " ".join(rng.choices(WORDS, k=4)))
