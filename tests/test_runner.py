@@ -2,6 +2,8 @@
 
 from datetime import datetime, timezone
 
+from pyspark.sql import functions as F
+
 from millrace.plans import runner
 
 RAW = "id string, title string, company string, location string, source string, url string, description string, salary_raw string, posted_date string, user_id string, expected_specialty string, search_term string, salary_min_raw double, salary_max_raw double, salary_currency string, salary_interval string, scraped_at timestamp, site_tz string"
@@ -34,6 +36,21 @@ def test_replay(spark, tmp_path):
     assert again.counts["stored"] == 0 and again.counts["canonical"] == 0
 
 
+def test_replay_searches_no_table_at_the_floor(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a search at the floor")
+
+    plain = runner.dedup.fuzzy_join
+    monkeypatch.setattr(runner.dedup, "closest", refuse)
+    monkeypatch.setattr(runner.dedup, "fuzzy_join", lambda a, b, threshold: refuse() if threshold < runner.dedup.CLUSTER_AT else plain(a, b, threshold))
+    existing = spark.createDataFrame([("old", -1, "u", "analyst data senior acme corp", "We need you to build models for $120K a year.")], "old_id string, rank long, url string, text string, description string")
+    texts = [("a", "data analyst acme corp", "We need you to build models for $110K a year."), ("b", "data analyst acme corps", "Nothing alike."), ("c", "data analyst of acme corps", "Something else here.")]
+    kept = spark.createDataFrame([(k, t, None, f"u{k}", d, datetime(2026, 4, 20, 0, 0, n, tzinfo=timezone.utc)) for n, (k, t, d) in enumerate(texts)], "job_id string, title_normalized string, company_normalized string, url string, description string, scraped_at timestamp")
+    old = existing.select(F.col("old_id").alias("job_id"), F.col("text").alias("title_normalized"), F.lit(None).cast("string").alias("company_normalized"), "url", "description", F.lit(datetime(2026, 4, 1, tzinfo=timezone.utc)).alias("fetched_at"))
+    got = {r.new_id: (r.decision, r.canonical_id) for r in runner.pipeline.check_history(kept, old).collect()}
+    assert got == {"a": ("description_similarity", "old"), "b": ("canonical", None), "c": ("fuzzy_title_company", "b")}
+
+
 def test_health_and_switches(spark):
     urls = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "url string")
     assert {r.url: r.url_is_dead for r in runner.url_health(urls).collect()} == {"a": None, "b": None}
