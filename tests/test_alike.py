@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from millrace.functions import alike
@@ -59,3 +60,35 @@ def test_every_block_meets_every_block(spark, monkeypatch, block, group):
     most = {p: max(ratio(p, q) for q in half) for p in strings}
     want = {(p, q) for p in strings for q in half if ratio(p, q) == most[p] >= 70}
     assert {(r.a, r.b) for r in dedup.closest(table, table.where(table.s.isin(half)), 70).collect()} == want
+
+
+def test_distances_of_pieces_lose_nothing_and_are_found_once_a_pair_of_words(monkeypatch):
+    def to_substring(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            before, row[0] = row[:], i
+            for j, d in enumerate(t, 1):
+                row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] if c == d else 99)
+        return min(row)
+
+    rng = random.Random(5)
+    for n, letters in enumerate(["ab", "abcdefgh"] * 12):
+        monkeypatch.setattr(alike, "WORDS", [1024, 3][n % 2])
+        monkeypatch.setattr(alike, "PAIRS", [64, 2][n // 2 % 2])
+        word = lambda: "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 3, 5, 9, 120])))  # noqa: B023, E731
+        strings = sorted({"", *(rng.choice(" |").join(word() for _ in range(rng.randint(1, 6))) for _ in range(20))})
+        known = sorted({word()[:20] + rng.choice(" |") for _ in range(12)} - {" ", "|"})
+        symbol = {c: k for k, c in enumerate(" |" + letters)}
+        side = alike.Strings(strings, symbol)
+        got = side.distances(known, symbol)
+        want = [[to_substring(p, s + " ") for s in side.strings] for p in known]
+        assert (got[:-1] <= np.array(want)).all() and (got[-1] == 0).all()
+        # exact where no text of three words or more is closer
+        assert (got[:-1] == np.array(want))[:, [len(alike.pieces(s)) < 3 for s in side.strings]].all()
+    seen = []
+    near = alike._Pieces.near
+    monkeypatch.setattr(alike._Pieces, "near", lambda self, words, x, y: seen.append(len(x)) or near(self, words, x, y))
+    strings = [f"{a} {b} {c}" for a in "klm" for b in "nop" for c in "qrs"]
+    symbol = {c: k for k, c in enumerate(sorted(set("".join(strings))))}
+    alike.Strings(strings, symbol).distances(["kn "], symbol)
+    assert seen == [3 + 9 + 9]
