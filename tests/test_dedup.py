@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.similarity import ratio
@@ -164,3 +165,29 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     got = dedup.components(spark.createDataFrame([(v,) for v in names], "v string"), spark.createDataFrame(edges, "a string, b string")).collect()
     assert {r.component for r in got} == {"0000"} and len(got) == 400
     assert len(rounds) <= 12
+
+
+@pytest.mark.parametrize("block, group", [(36_000, 120_000), (7, 14)])
+def test_rows_of_a_batch_meet_once_beside_alike_descriptions(spark, monkeypatch, block, group):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(dedup, "GROUP", group)
+    rng = random.Random(4)
+    titles, words = ["data analyst acme", "data analyst acme corp", "senior data analyst acne", "ml engineer", "lead ml engineers of acme"], [f"w{k}" for k in range(60)]
+    texts = [rng.sample(words, 12) for _ in range(10)]
+    rows = [(f"{rng.choice(titles)} {'abc'[k % 3] * (k % 5)}", " ".join(rng.sample(rng.choice(texts), 10))) for k in range(120)]
+    left, right = (spark.createDataFrame(part, "s string, description string") for part in (rows[:60], rows[60:]))
+    want: dict[str, float] = {}
+    for s, x in rows[:60]:
+        for t, y in rows:
+            a, b, q = set(x.split()), set(y.split()), ratio(s, t)
+            if 2 * len(a & b) >= len(a | b) and dedup.AMBIGUOUS_AT <= q < dedup.FUZZY_AT:
+                want[s] = min(q, want.get(s, 100.0))
+    met = []
+    units = dedup._by_unit
+    monkeypatch.setattr(dedup, "_by_unit", lambda made, *rest: met.append(made.groupBy("y", "z").pivot("side", [0, 1, 2]).count().na.fill(0).collect()) or units(made, *rest))
+    got = {r.s: r.mark for r in dedup.described(left, right, right, True).collect()}
+    # a pair that no bound sorts out may only lower a mark
+    assert len(want) > 20 and set(want) <= set(got) and all(got[s] <= m for s, m in want.items())
+    n, stored = (len({(s, frozenset(x.split())) for s, x in part}) for part in (rows[:60], rows[60:]))
+    among = sum((r["0"] + r["2"]) * (r["1"] + r["2"]) for r in met[1])
+    assert sum(r["0"] * r["1"] for r in met[0]) == n * stored and among == (n * n + sum((r["1"] + r["2"]) ** 2 for r in met[1] if r["z"] == 0)) / 2
